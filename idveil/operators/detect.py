@@ -29,6 +29,7 @@ from idveil.functions.text import (
 )
 from idveil.sources.tables import row_context as joined_cells
 
+READ_ERROR = "FILE_READ_ERROR"
 LOCATION = ("file", "sheet", "sheet_ord", "row")
 _SLIM = "array<struct<entity_type:string,raw_value:string,masked_value:string,confidence:string>>"
 
@@ -46,41 +47,57 @@ def _slim(matches: Column) -> Column:
     )
 
 
+def _error(message: str) -> Column:
+    """A read error in the shape of a match."""
+    return F.struct(
+        F.lit(READ_ERROR).alias("entity_type"),
+        F.col(message).alias("raw_value"),
+        F.col(message).alias("masked_value"),
+        F.lit("LOW").alias("confidence"),
+    )
+
+
 def chunk_rows(
-    rows: DataFrame, use_row_context: bool, gated: bool, max_chunk_chars: int | None
+    rows: DataFrame,
+    use_row_context: bool,
+    gated: bool,
+    max_chunk_chars: int | None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Candidate cells, normalised and split: one line per chunk."""
     cells = F.col("cells")
     if gated:
-        cells = F.filter(cells, lambda c: ~c["inert"] & may_hold_identifier(c["text"]))
+        cells = F.filter(
+            cells, lambda c: c["error"] | (~c["inert"] & may_hold_identifier(c["text"]))
+        )
     own_context = "row_context" in rows.columns
     context = F.col("row_context") if own_context else joined_cells()
     found = rows.select(
-        *LOCATION,
+        *LOCATION, *keep,
         cells.alias("hits"),
         *([F.col("row_context")] if own_context else [F.col("cells")]),
     )
     # Only rows with a candidate have their neighbours joined and tested.
     found = found.select(
-        *LOCATION, "hits", F.when(F.size("hits") > 0, context).alias("context")
+        *LOCATION, *keep, "hits", F.when(F.size("hits") > 0, context).alias("context")
     )
     dense = row_is_dense("context") if use_row_context else F.lit(False)
     cells_found = found.select(
-        *LOCATION,
+        *LOCATION, *keep,
         F.when(F.col("context").isNotNull(), dense).otherwise(F.lit(False)).alias("dense"),
         F.inline_outer("hits"),
     ).where(F.col("text").isNotNull())
-    here = (*LOCATION, "dense", "ord", "column", "column_entity", "penalised")
+    here = (*LOCATION, *keep, "dense", "ord", "column", "column_entity", "penalised", "error")
     clean = cells_found.select(*here, normalise_text("text").alias("clean"))
     if gated:
-        clean = clean.where(is_candidate("clean"))
+        clean = clean.where(F.col("error") | is_candidate("clean"))
     chunks = clean.select(
         *here,
         F.posexplode_outer(cap_chunks(split_multi_value("clean"), max_chunk_chars)).alias(
             "chunk_no", "chunk"
         ),
     )
-    return chunks.where(is_candidate("chunk")) if gated else chunks
+    return chunks.where(F.col("error") | is_candidate("chunk")) if gated else chunks
 
 
 def detect(
@@ -91,6 +108,7 @@ def detect(
     masked: bool = True,
     keep_clear_pans_as_masked: bool = False,
     max_chunk_chars: int | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One line per match: location, entity, masked value, confidence, hashed value.
 
@@ -98,8 +116,8 @@ def detect(
     shuffle or spill file.
     """
     gated = all(x.built_in for x in recognizers)
-    chunks = chunk_rows(rows, use_row_context, gated, max_chunk_chars)
-    here = (*LOCATION, "dense", "ord", "column", "column_entity", "penalised", "chunk_no")
+    chunks = chunk_rows(rows, use_row_context, gated, max_chunk_chars, keep)
+    here = (*LOCATION, *keep, "dense", "ord", "column", "column_entity", "penalised", "error", "chunk_no")
 
     # Which shapes a chunk shows decides which recognizers read it, and which of the
     # forms they share are built at all.
@@ -154,12 +172,13 @@ def detect(
             F.when(maybe_masked, _slim(r.find_masked("chunk", F.col("upper"), clear)).cast(_SLIM))
             .otherwise(nothing)
         )
+    arrays.append(F.when(F.col("error"), F.array(_error("chunk"))).otherwise(nothing))
     flags = [
         F.when(F.size(f"m_{x.entity}") > 0, supported(x.entity)).otherwise(F.lit(False))
         for x in recognizers
     ]
     merged = matched.select(
-        *[c for c in here if c not in ("dense", "column_entity")],
+        *[c for c in here if c not in ("dense", "column_entity", "error")],
         *[f.alias(f"s_{x.entity}") for f, x in zip(flags, recognizers, strict=True)],
         F.concat(nothing, *arrays).alias("matches"),
     )
@@ -174,7 +193,7 @@ def detect(
     is_real = F.col("m.entity_type").isin(*[x.entity for x in recognizers])
     confidence = F.when(is_real, step_confidence(stepped, choice, penalised)).otherwise(stepped)
     return lines.select(
-        *LOCATION,
+        *LOCATION, *keep,
         "column",
         "ord",
         "chunk_no",

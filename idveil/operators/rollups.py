@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from idveil.functions.columns import as_col
 from idveil.functions.context import confidence_rank
+from idveil.operators.detect import READ_ERROR
 
 REPORT_COLUMNS = ("file", "sheet", "row", "column", "entity_type", "masked_value", "confidence")
 SEVERE_ENTITIES = ("AADHAAR", "PAN", "BANK_ACCOUNT")
-READ_ERROR = "FILE_READ_ERROR"
 
 
 def at_least(findings: DataFrame, confidence: str = "LOW") -> DataFrame:

@@ -2,7 +2,7 @@
 
 The engine reads *rows*: one Spark row per source row, holding its non-blank cells
 as ``array<struct<ord, column, text, column_entity, penalised,
-inert>>``. Keeping the cells
+inert, error>>``. Keeping the cells
 of a row together lets it be tested as a whole before anything is exploded.
 """
 
@@ -59,8 +59,13 @@ _INERT = (
 )
 
 
-def cell(ordinal: Column, column: Column, text: Column, inert: bool = False) -> Column:
-    """One cell. For literal column names the header tests fold into constants."""
+def cell(
+    ordinal: Column, column: Column, text: Column, inert: bool = False, error: bool = False
+) -> Column:
+    """One cell. For literal column names the header tests fold into constants.
+
+    An *error* cell carries the message of a read error instead of data.
+    """
     return F.struct(
         ordinal.cast("int").alias("ord"),
         column.alias("column"),
@@ -68,9 +73,15 @@ def cell(ordinal: Column, column: Column, text: Column, inert: bool = False) ->
         column_entity(column).alias("column_entity"),
         is_penalised(column).alias("penalised"),
         F.lit(inert).alias("inert"),
+        F.lit(error).alias("error"),
     )
 
 
+def error_cells(message: str) -> Column:
+    """The cells of a record that could not be read."""
+    return F.array(cell(F.lit(0), F.lit("ERROR"), F.lit(message[:120]), error=True))
+
+
 def present(cells: Column) -> Column:
     """Drop cells that are null or blank."""
     return F.filter(cells, lambda c: c["text"].isNotNull() & (c["text"] != ""))
@@ -109,13 +120,15 @@ def table_rows(
     columns: list[str] | None = None,
     sheet_ord: int = 0,
     only_candidates: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows of a DataFrame.
 
     ``file`` and ``sheet`` are names or Columns. ``row`` numbers the rows; which row
     counts as first occurrence follows it. Without one, rows get increasing but not
     consecutive numbers, which need no shuffle and no second pass.
-    ``only_candidates`` leaves out rows that cannot yield a finding.
+    ``only_candidates`` leaves out rows that cannot yield a finding; ``keep`` carries
+    columns along.
     """
     names = columns or [
         c for c in df.columns if not (isinstance(row, str) and c == row)
@@ -144,6 +157,7 @@ def table_rows(
         F.lit(sheet_ord).alias("sheet_ord"),
         F.col("_row").alias("row"),
         present(cells).alias("cells"),
+        *keep,
     )
 
 
