@@ -14,15 +14,14 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_SPLITS = 200_000  # lines of a few hundred bytes: tens of megabytes
 
-META = (
-    F.col("_metadata.file_path").alias("_file"),
-    F.col("_metadata.file_block_start").alias("_block"),
-)
-
-
 def tagged(df: DataFrame) -> DataFrame:
     """Records of a file source with their file, split and increasing id."""
-    return df.select("*", *META).withColumn("_id", F.monotonically_increasing_id())
+    return df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
 
 
 def split_offsets(records: DataFrame, head: Column | None = None) -> DataFrame:
