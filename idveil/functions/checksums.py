@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from idveil.constants import BASE36, VERHOEFF_PERMUTATION
-from idveil.functions.columns import as_col
+from idveil.functions.columns import as_col, lookup_table
 
 
 def _dihedral(a: int, b: int) -> int:
@@ -27,10 +27,6 @@ POSITION = [d for row in _position_tables() for d in row]
 INVERSE = [next(b for b in range(10) if _dihedral(a, b) == 0) for a in range(10)]
 
 
-def _table(values: list[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _digit(char: Column) -> Column:
     return F.ascii(char) - F.lit(48)
 
@@ -38,9 +34,9 @@ def _digit(char: Column) -> Column:
 def _verhoeff_state(digits: Column, first_position: int) -> Column:
     placed = F.transform(
         F.split(F.reverse(digits), ""),
-        lambda ch, i: F.get(_table(POSITION), (i + first_position) % 8 * 10 + _digit(ch)),
+        lambda ch, i: F.get(lookup_table(POSITION), (i + first_position) % 8 * 10 + _digit(ch)),
     )
-    return F.aggregate(placed, F.lit(0), lambda c, p: F.get(_table(PRODUCT), c * 10 + p))
+    return F.aggregate(placed, F.lit(0), lambda c, p: F.get(lookup_table(PRODUCT), c * 10 + p))
 
 
 def verhoeff_valid(number: Column | str) -> Column:
@@ -53,7 +49,7 @@ def verhoeff_valid(number: Column | str) -> Column:
 def verhoeff_check_digit(prefix: Column | str) -> Column:
     """The one digit that makes ``prefix || digit`` valid."""
     state = _verhoeff_state(as_col(prefix), 1)
-    return F.get(_table(INVERSE), state).cast("string")
+    return F.get(lookup_table(INVERSE), state).cast("string")
 
 
 def gstin_check_digit(prefix14: Column | str) -> Column:

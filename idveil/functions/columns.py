@@ -19,6 +19,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lookup_table(values: list[int]) -> Column:
+    """A constant array, built in one call instead of one per element."""
+    return F.expr(f"array({', '.join(map(str, values))})")
+
+
 def strip(text: Column | str) -> Column:
     """Trim all Unicode white space (plain ``trim`` only removes blanks)."""
     return F.btrim(as_col(text), F.lit(SPACE_CHARS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,21 @@ _EMAIL = (
 )
 
 
+def entity_of_header(name: str) -> str | None:
+    """``column_entity`` for a name known while planning, decided on the driver."""
+    words = name.translate(str.maketrans("_-.", "   "))
+    for entity, patterns in k.HEADER_PATTERNS.items():
+        if any(re.search(p, words, re.IGNORECASE) for p in patterns):
+            return entity
+    return None
+
+
+def header_is_penalised(name: str) -> bool:
+    """``is_penalised`` for a name known while planning."""
+    words = name.translate(str.maketrans("_-", "  "))
+    return re.search(rf"\b(?:{k.PENALTY_WORDS})\b", words, re.IGNORECASE) is not None
+
+
 def column_entity(name: Column | str) -> Column:
     """Entity a column header stands for (first in the fixed order), or null."""
     words = F.translate(as_col(name), "_-.", "   ")

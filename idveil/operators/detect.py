@@ -13,7 +13,10 @@ whole array (here: all recognition work) a second time in front of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idveil.functions import recognizers as r
@@ -34,6 +37,43 @@ LOCATION = ("file", "sheet", "sheet_ord", "row")
 _SLIM = "array<struct<entity_type:string,raw_value:string,masked_value:string,confidence:string>>"
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What to detect and which context counts."""
+
+    recognizers: tuple[Recognizer, ...]
+    use_row_context: bool = True
+    use_penalty: bool = True
+    masked: bool = True
+    keep_clear_pans_as_masked: bool = False
+    max_chunk_chars: int | None = None
+    keep: tuple[str, ...] = ()  # columns to carry along
+
+    @property
+    def gated(self) -> bool:
+        """The candidate tests hold for the built-in recognizers only."""
+        return all(x.built_in for x in self.recognizers)
+
+
+@dataclass(frozen=True)
+class Step:
+    """A projection, or else a filter."""
+
+    columns: tuple[Column | str, ...] = ()
+    condition: Column | None = None
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.columns) if self.condition is None else df.where(self.condition)
+
+
+def _select(*columns: Column | str) -> Step:
+    return Step(columns=columns)
+
+
+def _where(condition: Column) -> Step:
+    return Step(condition=condition)
+
+
 def _slim(matches: Column) -> Column:
     """Matches without the fields a finding does not report."""
     return F.transform(
@@ -57,149 +97,151 @@ def _error(message: str) -> Column:
     )
 
 
-def chunk_rows(
-    rows: DataFrame,
-    use_row_context: bool,
-    gated: bool,
-    max_chunk_chars: int | None,
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
+def _chunk_steps(s: Settings, own_context: bool) -> list[Step]:
     """Candidate cells, normalised and split: one line per chunk."""
+    place = (*LOCATION, *s.keep)
     cells = F.col("cells")
-    if gated:
+    if s.gated:
         cells = F.filter(
             cells, lambda c: c["error"] | (~c["inert"] & may_hold_identifier(c["text"]))
         )
-    own_context = "row_context" in rows.columns
     context = F.col("row_context") if own_context else joined_cells()
-    found = rows.select(
-        *LOCATION, *keep,
-        cells.alias("hits"),
-        *([F.col("row_context")] if own_context else [F.col("cells")]),
-    )
-    # Only rows with a candidate have their neighbours joined and tested.
-    found = found.select(
-        *LOCATION, *keep, "hits", F.when(F.size("hits") > 0, context).alias("context")
-    )
-    dense = row_is_dense("context") if use_row_context else F.lit(False)
-    cells_found = found.select(
-        *LOCATION, *keep,
-        F.when(F.col("context").isNotNull(), dense).otherwise(F.lit(False)).alias("dense"),
-        F.inline_outer("hits"),
-    ).where(F.col("text").isNotNull())
-    here = (*LOCATION, *keep, "dense", "ord", "column", "column_entity", "penalised", "error")
-    clean = cells_found.select(*here, normalise_text("text").alias("clean"))
-    if gated:
-        clean = clean.where(F.col("error") | is_candidate("clean"))
-    chunks = clean.select(
-        *here,
-        F.posexplode_outer(cap_chunks(split_multi_value("clean"), max_chunk_chars)).alias(
-            "chunk_no", "chunk"
+    dense = row_is_dense("context") if s.use_row_context else F.lit(False)
+    here = (*place, "dense", "ord", "column", "column_entity", "penalised", "error")
+    chunks = cap_chunks(split_multi_value("clean"), s.max_chunk_chars)
+    steps = [
+        _select(*place, cells.alias("hits"), "row_context" if own_context else "cells"),
+        # Only rows with a candidate have their neighbours joined and tested, once per row.
+        _select(*place, "hits", F.when(F.size("hits") > 0, context).alias("context")),
+        _select(
+            *place,
+            "hits",
+            F.when(F.col("context").isNotNull(), dense).otherwise(F.lit(False)).alias("dense"),
         ),
-    )
-    return chunks.where(F.col("error") | is_candidate("chunk")) if gated else chunks
-
-
-def detect(
-    rows: DataFrame,
-    recognizers: list[Recognizer],
-    use_row_context: bool = True,
-    use_penalty: bool = True,
-    masked: bool = True,
-    keep_clear_pans_as_masked: bool = False,
-    max_chunk_chars: int | None = None,
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """One line per match: location, entity, masked value, confidence, hashed value.
-
-    The clear value leaves this stage only as a SHA-256 digest, so that it reaches no
-    shuffle or spill file.
-    """
-    gated = all(x.built_in for x in recognizers)
-    chunks = chunk_rows(rows, use_row_context, gated, max_chunk_chars, keep)
-    here = (*LOCATION, *keep, "dense", "ord", "column", "column_entity", "penalised", "error", "chunk_no")
+        _select(*place, "dense", F.inline_outer("hits")),
+        _where(F.col("text").isNotNull()),
+        _select(*here, normalise_text("text").alias("clean")),
+    ]
+    if s.gated:
+        steps.append(_where(F.col("error") | is_candidate("clean")))
+    steps.append(_select(*here, F.posexplode_outer(chunks).alias("chunk_no", "chunk")))
+    if s.gated:
+        steps.append(_where(F.col("error") | is_candidate("chunk")))
+    return steps
+
+
+def _match_steps(s: Settings) -> list[Step]:
+    """Chunks to matches: one line per match."""
+    place = (*LOCATION, *s.keep)
+    here = (*place, "dense", "ord", "column", "column_entity", "penalised", "error", "chunk_no")
+    nothing = F.array().cast(_SLIM)
 
     # Which shapes a chunk shows decides which recognizers read it, and which of the
     # forms they share are built at all.
-    wanted = {x.shape for x in recognizers if x.shape} | ({"masked", "pan"} if masked else set())
+    wanted = {x.shape for x in s.recognizers if x.shape}
+    wanted |= {"masked", "pan"} if s.masked else set()
     shapes = sorted(wanted)
-    upper = chunks.select(*here, "chunk", F.upper("chunk").alias("upper"))
-    shaped = upper.select(
-        "*", *[has_shape(F.col("chunk"), F.col("upper"), x).alias(f"is_{x}") for x in shapes]
-    )
+    shown = [has_shape(F.col("chunk"), F.col("upper"), x).alias(f"is_{x}") for x in shapes]
 
     def form(shape: str, value: Column) -> Column:
         return F.when(F.col(f"is_{shape}"), value) if shape in wanted else F.lit(None)
 
-    staged = shaped.select(
-        "*",
-        form("aadhaar", r.strip_phone_prefixes(r.strip_aadhaar_separators("chunk"))).alias(
-            "aadhaar_digits"
+    digits = r.strip_phone_prefixes(r.strip_aadhaar_separators("chunk"))
+    steps = [
+        _select(*here, "chunk", F.upper("chunk").alias("upper")),
+        _select("*", *shown),
+        _select(
+            "*",
+            form("aadhaar", digits).cast("string").alias("aadhaar_digits"),
+            form("mobile", r.strip_mobile_separators("chunk")).cast("string").alias("mobile_digits"),
         ),
-        form("mobile", r.strip_mobile_separators("chunk")).alias("mobile_digits"),
-    )
+    ]
+
     chunk = Chunk(*(F.col(c) for c in ("chunk", "upper", "aadhaar_digits", "mobile_digits")))
-    nothing = F.array().cast(_SLIM)
 
     def read(x: Recognizer) -> Column:
-        found = _slim(x.find(chunk)).cast(_SLIM)
+        found = _slim(x.find(chunk))
         if x.shape is None:
             return F.coalesce(found, nothing)
         return F.when(F.col(f"is_{x.shape}"), found).otherwise(nothing)
 
-    matched = staged.select(
-        *here,
-        "chunk",
-        "upper",
-        *[f"is_{x}" for x in shapes],
-        *[read(x).alias(f"m_{x.entity}") for x in recognizers],
+    arrays = [F.col(f"m_{x.entity}") for x in s.recognizers]
+    steps.append(
+        _select(
+            *here,
+            "chunk",
+            "upper",
+            *[f"is_{x}" for x in shapes],
+            *[read(x).alias(f"m_{x.entity}") for x in s.recognizers],
+        )
     )
+    if s.masked:
+        pans = any(x.entity == "PAN" and x.built_in for x in s.recognizers)
+        clear = F.col("m_PAN")["raw_value"] if pans and not s.keep_clear_pans_as_masked else None
+        hidden = _slim(r.find_masked("chunk", F.col("upper"), clear))
+        arrays.append(
+            F.when(F.col("is_masked") | F.col("is_pan"), hidden).otherwise(nothing)
+        )
+    arrays.append(F.when(F.col("error"), F.array(_error("chunk"))).otherwise(nothing))
 
     # The label of an entity is looked for only where that entity was found, once per chunk.
     def supported(entity: str) -> Column:
-        return (
+        support = (
             F.col("dense")
             | F.coalesce(F.col("column_entity") == entity, F.lit(False))
             | has_label("chunk", entity)
         )
+        return F.when(F.size(f"m_{entity}") > 0, support).otherwise(F.lit(False))
 
-    arrays = [F.col(f"m_{x.entity}") for x in recognizers]
-    if masked:
-        pans = [x for x in recognizers if x.entity == "PAN" and x.built_in]
-        clear = F.col("m_PAN")["raw_value"] if pans and not keep_clear_pans_as_masked else None
-        maybe_masked = F.col("is_masked") | F.col("is_pan")
-        arrays.append(
-            F.when(maybe_masked, _slim(r.find_masked("chunk", F.col("upper"), clear)).cast(_SLIM))
-            .otherwise(nothing)
-        )
-    arrays.append(F.when(F.col("error"), F.array(_error("chunk"))).otherwise(nothing))
-    flags = [
-        F.when(F.size(f"m_{x.entity}") > 0, supported(x.entity)).otherwise(F.lit(False))
-        for x in recognizers
+    steps += [
+        _select(
+            *[c for c in here if c not in ("dense", "column_entity", "error")],
+            *[supported(x.entity).alias(f"s_{x.entity}") for x in s.recognizers],
+            F.concat(nothing, *arrays).alias("matches"),
+        ),
+        _select(
+            *[c for c in here if c not in ("dense", "column_entity", "error")],
+            *[f"s_{x.entity}" for x in s.recognizers],
+            F.posexplode_outer("matches").alias("match_no", "m"),
+        ),
+        _where(F.col("match_no").isNotNull()),
     ]
-    merged = matched.select(
-        *[c for c in here if c not in ("dense", "column_entity", "error")],
-        *[f.alias(f"s_{x.entity}") for f, x in zip(flags, recognizers, strict=True)],
-        F.concat(nothing, *arrays).alias("matches"),
-    )
-    lines = merged.select("*", F.posexplode_outer("matches").alias("match_no", "m"))
-    lines = lines.drop("matches").where(F.col("match_no").isNotNull())
-
-    stepped = F.col("m.confidence")
-    penalised = F.col("penalised") if use_penalty else F.lit(False)
-    choice = F.lit(False)
-    for x in recognizers:
-        choice = F.when(F.col("m.entity_type") == x.entity, F.col(f"s_{x.entity}")).otherwise(choice)
-    is_real = F.col("m.entity_type").isin(*[x.entity for x in recognizers])
-    confidence = F.when(is_real, step_confidence(stepped, choice, penalised)).otherwise(stepped)
-    return lines.select(
-        *LOCATION, *keep,
-        "column",
-        "ord",
-        "chunk_no",
-        "match_no",
-        F.col("m.entity_type").alias("entity_type"),
-        F.col("m.masked_value").alias("masked_value"),
-        confidence.alias("confidence"),
-        F.unhex(F.sha2(F.col("m.raw_value"), 256)).alias("value_key"),
+
+    base = F.col("m.confidence")
+    raised = F.lit(False)
+    for x in s.recognizers:
+        raised = F.when(F.col("m.entity_type") == x.entity, F.col(f"s_{x.entity}")).otherwise(raised)
+    graded = step_confidence(base, raised, F.col("penalised") if s.use_penalty else F.lit(False))
+    is_real = F.col("m.entity_type").isin(*[x.entity for x in s.recognizers])
+    steps.append(
+        _select(
+            *place,
+            "column",
+            "ord",
+            "chunk_no",
+            "match_no",
+            F.col("m.entity_type").alias("entity_type"),
+            F.col("m.masked_value").alias("masked_value"),
+            F.when(is_real, graded).otherwise(base).alias("confidence"),
+            F.unhex(F.sha2(F.col("m.raw_value"), 256)).alias("value_key"),
+        )
     )
+    return steps
+
+
+@lru_cache(maxsize=64)
+def _plan(session: SparkSession, settings: Settings, own_context: bool) -> tuple[Step, ...]:
+    """The steps name columns only, so scans with the same settings share them."""
+    return (*_chunk_steps(settings, own_context), *_match_steps(settings))
+
+
+def detect(rows: DataFrame, settings: Settings) -> DataFrame:
+    """One line per match: location, entity, masked value, confidence, hashed value.
+
+    The clear value leaves this stage only as a SHA-256 digest, so that it reaches no
+    shuffle or spill file.
+    """
+    found = rows
+    for step in _plan(rows.sparkSession, settings, "row_context" in rows.columns):
+        found = step.apply(found)
+    return found

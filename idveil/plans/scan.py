@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 
 from idveil.functions.registry import RECOGNIZERS, Registry
 from idveil.operators.dedup import first_occurrences
-from idveil.operators.detect import detect
+from idveil.operators.detect import Settings, detect
 from idveil.sources.tables import cell_rows, table_rows
 
 CELL_MODE_ENTITIES = ("AADHAAR", "PAN", "GSTIN", "IN_MOBILE", "VOTER_ID", "PASSPORT")
@@ -37,6 +37,17 @@ class ScanOptions:
     max_chunk_chars: int | None = None
     registry: Registry = RECOGNIZERS
 
+    def settings(self, keep: tuple[str, ...] = ()) -> Settings:
+        return Settings(
+            tuple(self.registry.active(self.entities, self.disable)),
+            self.row_context,
+            self.penalty,
+            self.masked,
+            self.keep_clear_pans_as_masked,
+            self.max_chunk_chars,
+            keep,
+        )
+
 
 def cell_mode(**changes) -> ScanOptions:
     """Options of the per-cell mode: six entities, no neighbours, no penalty."""
@@ -47,16 +58,7 @@ def cell_mode(**changes) -> ScanOptions:
 def scan_rows(rows: DataFrame, options: ScanOptions | None = None, **changes) -> DataFrame:
     """Findings in rows of cells (see ``idveil.sources``)."""
     o = options or ScanOptions(**changes)
-    matches = detect(
-        rows,
-        o.registry.active(o.entities, o.disable),
-        use_row_context=o.row_context,
-        use_penalty=o.penalty,
-        masked=o.masked,
-        keep_clear_pans_as_masked=o.keep_clear_pans_as_masked,
-        max_chunk_chars=o.max_chunk_chars,
-    )
-    return first_occurrences(matches, o.dedup)
+    return first_occurrences(detect(rows, o.settings()), o.dedup)
 
 
 def scan(
@@ -75,8 +77,8 @@ def scan(
     entity_type, masked_value, confidence and position (the reading order).
     """
     o = options or ScanOptions(**changes)
-    gated = all(x.built_in for x in o.registry.active(o.entities, o.disable))
-    return scan_rows(table_rows(df, file, sheet, row, columns, only_candidates=gated), o)
+    rows = table_rows(df, file, sheet, row, columns, only_candidates=o.settings().gated)
+    return scan_rows(rows, o)
 
 
 def scan_cells(cells: DataFrame, options: ScanOptions | None = None, **changes) -> DataFrame:

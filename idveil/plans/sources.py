@@ -10,6 +10,7 @@ from idveil.constants import TEXT_SUFFIXES
 from idveil.plans.scan import ScanOptions, scan_rows
 from idveil.sources import files as f
 from idveil.sources.catalog import catalog_tables, database_rows
+from idveil.sources.tables import cell_rows, row_context
 
 CELL_MODE_SUFFIXES = ("csv",)
 _COLUMNS = ("file", "sheet", "sheet_ord", "row", "cells", "row_context")
@@ -44,8 +45,6 @@ def path_rows(
 
 
 def _with_context(rows: DataFrame) -> DataFrame:
-    from idveil.sources.tables import row_context
-
     return rows.withColumn("row_context", row_context())
 
 
@@ -64,8 +63,6 @@ def scan_path(
     only = CELL_MODE_SUFFIXES if o.dedup == "cell" else None
     rows = path_rows(spark, path, multiline_csv, only)
     if rows is None:
-        from idveil.sources.tables import cell_rows
-
         rows = cell_rows(spark.createDataFrame([], "text string"))
     return scan_rows(rows, o)
 
@@ -88,6 +85,6 @@ def scan_tables(
         if database is None:
             raise ValueError("give a database or tables")
         tables = catalog_tables(spark, database)
-    gated = all(x.built_in for x in o.registry.active(o.entities, o.disable))
-    rows = database_rows(tables, source or database or "database", keys, only_candidates=gated)
+    name = source or database or "database"
+    rows = database_rows(tables, name, keys, only_candidates=o.settings().gated)
     return scan_rows(rows, o)

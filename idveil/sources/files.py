@@ -188,7 +188,7 @@ def tsv_rows(
 
 # --- text --------------------------------------------------------------------------
 def _text_row(file: Column, row: Column, text: Column, context: Column) -> list[Column]:
-    return _row(file, row, F.array(cell(F.lit(0), F.lit("text"), strip(text))), context)
+    return _row(file, row, F.array(cell(F.lit(0), "text", strip(text))), context)
 
 
 def _near(before: Column, line: Column, after: Column) -> Column:

@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idveil.functions.columns import as_col, strip
-from idveil.functions.context import column_entity, is_penalised
+from idveil.functions.context import (
+    column_entity,
+    entity_of_header,
+    header_is_penalised,
+    is_penalised,
+)
 from idveil.functions.text import may_hold_identifier
 
 UNNAMED = "(unnamed)"
@@ -60,18 +65,24 @@ _INERT = (
 
 
 def cell(
-    ordinal: Column, column: Column, text: Column, inert: bool = False, error: bool = False
+    ordinal: Column, column: Column | str, text: Column, inert: bool = False, error: bool = False
 ) -> Column:
-    """One cell. For literal column names the header tests fold into constants.
+    """One cell. A name given as text has its header tests done here and now.
 
     An *error* cell carries the message of a read error instead of data.
     """
+    if isinstance(column, str):
+        entity: Column = F.lit(entity_of_header(column)).cast("string")
+        penalised: Column = F.lit(header_is_penalised(column))
+        column = F.lit(column)
+    else:
+        entity, penalised = column_entity(column), is_penalised(column)
     return F.struct(
         ordinal.cast("int").alias("ord"),
         column.alias("column"),
         text.alias("text"),
-        column_entity(column).alias("column_entity"),
-        is_penalised(column).alias("penalised"),
+        entity.alias("column_entity"),
+        penalised.alias("penalised"),
         F.lit(inert).alias("inert"),
         F.lit(error).alias("error"),
     )
@@ -79,7 +90,7 @@ def cell(
 
 def error_cells(message: str) -> Column:
     """The cells of a record that could not be read."""
-    return F.array(cell(F.lit(0), F.lit("ERROR"), F.lit(message[:120]), error=True))
+    return F.array(cell(F.lit(0), "ERROR", F.lit(message[:120]), error=True))
 
 
 def present(cells: Column) -> Column:
@@ -109,7 +120,11 @@ def with_candidates(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     tests = [_may_hold(F.col(f"`{c}`"), types[c]) for c in columns]
-    return df.where(reduce(lambda a, b: a | b, [t for t in tests if t is not None], F.lit(False)))
+    some = reduce(lambda a, b: a | b, [t for t in tests if t is not None], F.lit(False))
+    # The increasing id keeps the filter above the projection it stands on. Pushed below,
+    # it would repeat the expressions of computed columns once per test.
+    here = df.withColumn("_here", F.monotonically_increasing_id())
+    return here.where((F.col("_here") >= 0) & some).drop("_here")
 
 
 def table_rows(
@@ -138,7 +153,7 @@ def table_rows(
         *[
             cell(
                 F.lit(i),
-                F.lit(n or UNNAMED),
+                n or UNNAMED,
                 strip(text_of(F.col(f"`{n}`"), types[n])),
                 isinstance(types[n], _INERT),
             )

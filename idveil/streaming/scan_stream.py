@@ -30,14 +30,7 @@ def scan_stream(
     rows = table_rows(
         stream, F.col(file), None, F.col(row), names, keep=(event_time,), only_candidates=True
     )
-    matches = detect(
-        rows,
-        o.registry.active(o.entities, o.disable),
-        use_row_context=o.row_context,
-        use_penalty=o.penalty,
-        masked=o.masked,
-        keep=(event_time,),
-    )
+    matches = detect(rows, o.settings(keep=(event_time,)))
     kept = matches.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(
         ["file", "entity_type", "value_key"]
     )

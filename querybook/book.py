@@ -15,6 +15,7 @@ from idveil.functions.registry import Registry
 from idveil.operators import evaluate as ev
 from idveil.operators import rollups as ru
 from idveil.operators.remediate import remediate_cells
+from idveil.plans.spread import spread
 from idveil.sources import documents as docs
 from idveil.sources import files as fs
 from idveil.sources import tables as tb
@@ -50,7 +51,7 @@ def scan_people(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 def scan_documents(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return iv.scan(
-        table(spark, sf_dir, "documents"), file=F.col("source"), row="doc_id", columns=["text"], **options
+        spread(table(spark, sf_dir, "documents")), file=F.col("source"), row="doc_id", columns=["text"], **options
     )
 
 
@@ -962,7 +963,7 @@ def _(spark, sf):
 @query("remediate_documents")
 def _(spark, sf):
     """Whole documents sanitised, with a flag for the changed ones."""
-    out = remediate_cells(table(spark, sf, "documents"), "redact")
+    out = remediate_cells(spread(table(spark, sf, "documents")), "redact")
     return out.select("doc_id", "changed", F.md5("text").alias("text_md5"))
 
 

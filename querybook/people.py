@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from idveil.functions.checksums import gstin_check_digit, verhoeff_check_digit
 from idveil.functions.columns import as_col
+from idveil.plans.spread import spread
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -90,7 +91,7 @@ WIDE_COLUMNS = (
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
