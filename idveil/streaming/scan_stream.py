@@ -28,7 +28,7 @@ def scan_stream(
     o = options or ScanOptions()
     names = columns or [c for c in stream.columns if c not in (event_time, file, row)]
     rows = table_rows(
-        stream, F.col(file), None, F.col(row), names, keep=(event_time,), only_candidates=True
+        stream, F.col(file), None, F.col(row), names, keep=(event_time,)
     )
     matches = detect(rows, o.settings(keep=(event_time,)))
     kept = matches.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(
