@@ -20,7 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idveil.functions import recognizers as r
-from idveil.functions.context import has_label, row_is_dense, step_confidence
+from idveil.functions.context import (
+    column_entity,
+    has_label,
+    is_penalised,
+    row_is_dense,
+    step_confidence,
+)
 from idveil.functions.registry import Chunk, Recognizer
 from idveil.functions.text import (
     cap_chunks,
@@ -120,7 +126,18 @@ def _chunk_steps(s: Settings, own_context: bool) -> list[Step]:
         ),
         _select(*place, "dense", F.inline_outer("hits")),
         _where(F.col("text").isNotNull()),
-        _select(*here, normalise_text("text").alias("clean")),
+        _select(
+            *place,
+            "dense",
+            "ord",
+            "column",
+            F.when(F.col("penalised").isNull(), column_entity("column"))
+            .otherwise(F.col("column_entity"))
+            .alias("column_entity"),
+            F.coalesce(F.col("penalised"), is_penalised("column")).alias("penalised"),
+            "error",
+            normalise_text("text").alias("clean"),
+        ),
     ]
     if s.gated:
         steps.append(_where(F.col("error") | is_candidate("clean")))

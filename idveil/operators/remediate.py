@@ -7,13 +7,15 @@ as it stands (no normalisation, no context).
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from idveil.functions import recognizers as r
 from idveil.functions.columns import as_col, let, strip
-from idveil.functions.text import has_shape
+from idveil.functions.text import has_shape, is_candidate
 from idveil.functions.tokens import DEFAULT_SALT, TOKEN_CHARS, tokenize
 from idveil.sources.tables import text_of
 
@@ -129,25 +131,45 @@ def sanitize(
         )
         return let(spans, lambda s: F.when(F.size(s) == 0, raw).otherwise(_rewrite(raw, s)))
 
-    possible = F.lit(False)
-    for shape in sorted({f[1] for f in finders}):
-        possible = possible | has_shape(text, F.upper(text), shape)
     forms = F.struct(text.alias("text"), F.upper(text).alias("upper"))
-    return F.when(possible, let(forms, rewritten)).otherwise(text)
+    # One pass over the text decides; only candidates are taken apart shape by shape.
+    return F.when(is_candidate(text), let(forms, rewritten)).otherwise(text)
 
 
-def _textual(df: DataFrame, columns: list[str] | None) -> list[str]:
-    return list(columns) if columns is not None else df.columns
+@dataclass(frozen=True)
+class _How:
+    mode: str
+    salt: str = DEFAULT_SALT
+    mask_token: str | None = None
+    entities: tuple[str, ...] | None = None
+    token_chars: int = TOKEN_CHARS
 
 
-def _clean(df: DataFrame, columns: list[str], mode: str, **options) -> dict[str, tuple]:
+def _how(mode: str, options: dict) -> _How:
+    entities = options.get("entities")
+    return _How(**{**options, "mode": mode, "entities": tuple(entities) if entities else None})
+
+
+@lru_cache(maxsize=64)
+def _sanitize_all(session: SparkSession, how: _How) -> Column:
+    """The texts of ``_texts``, each sanitised. One expression whatever the number of
+    columns; it names one column only, so tables with the same options share it."""
+
+    def clean(text: Column) -> Column:
+        done = sanitize(
+            text, how.mode, how.salt, how.mask_token, how.entities, how.token_chars
+        )
+        return F.when(strip(text) == "", text).otherwise(done)
+
+    return F.transform(F.col("_texts"), clean)
+
+
+def _before_and_after(df: DataFrame, columns: list[str], how: _How) -> DataFrame:
+    """*df* with ``_texts`` and ``_clean``: the columns as text, before and after."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    pairs = {}
-    for c in columns:
-        before = text_of(F.col(f"`{c}`"), types[c])
-        blank = strip(before) == ""
-        pairs[c] = (before, F.when(blank, before).otherwise(sanitize(before, mode, **options)))
-    return pairs
+    texts = F.array(*[text_of(F.col(f"`{c}`"), types[c]) for c in columns])
+    staged = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], texts.alias("_texts"))
+    return staged.select("*", _sanitize_all(df.sparkSession, how).alias("_clean"))
 
 
 def remediate(
@@ -160,39 +182,33 @@ def remediate(
     """Every cell of the table sanitised. Non-text columns become text, as in a CSV copy.
 
     With an *observation*, the number of changed cells is counted in the same pass and
-    can be read from it (``changed_cells``) once the result has been written.
+    can be read from it (``changed_cells``) once the result has been written. Further
+    options are those of ``sanitize``.
     """
-    names = _textual(df, columns)
-    pairs = _clean(df, names, mode, **options)
-    kept = [c for c in df.columns if c not in pairs]
-    if observation is None:
-        return df.select(
-            *[pairs[c][1].alias(c) if c in pairs else F.col(f"`{c}`") for c in df.columns]
+    names = list(columns) if columns is not None else df.columns
+    both = _before_and_after(df, names, _how(mode, options))
+    if observation is not None:
+        pairs = F.zip_with("_texts", "_clean", lambda a, b: ~a.eqNullSafe(b))
+        changed = F.size(F.filter(pairs, lambda x: x))
+        both = both.observe(
+            observation, F.coalesce(F.sum(changed), F.lit(0)).cast("bigint").alias("changed_cells")
         )
-    both = df.select(
-        *[F.col(f"`{c}`") for c in kept],
-        *[pairs[c][0].alias(f"_before_{c}") for c in names],
-        *[pairs[c][1].alias(c) for c in names],
+    at = {c: i for i, c in enumerate(names)}
+    return both.select(
+        *[F.col("_clean")[at[c]].alias(c) if c in at else F.col(f"`{c}`") for c in df.columns]
     )
-    changed = F.lit(0)
-    for c in names:
-        changed = changed + F.when(F.col(f"_before_{c}").eqNullSafe(F.col(f"`{c}`")), 0).otherwise(1)
-    counted = both.observe(
-        observation, F.coalesce(F.sum(changed), F.lit(0)).cast("bigint").alias("changed_cells")
-    )
-    return counted.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def changed_cells(
     df: DataFrame, mode: str = "mask", columns: list[str] | None = None, **options
 ) -> DataFrame:
     """Per column, how many cells remediation changes: ``column, changed``."""
-    names = _textual(df, columns)
-    pairs = _clean(df, names, mode, **options)
-    counts = df.select(
+    names = list(columns) if columns is not None else df.columns
+    both = _before_and_after(df.select(*[F.col(f"`{c}`") for c in names]), names, _how(mode, options))
+    counts = both.select(
         *[
-            F.count_if(~pairs[c][0].eqNullSafe(pairs[c][1])).cast("bigint").alias(c)
-            for c in names
+            F.count_if(~F.col("_texts")[i].eqNullSafe(F.col("_clean")[i])).cast("bigint").alias(c)
+            for i, c in enumerate(names)
         ]
     )
     return counts.unpivot([], names, "column", "changed")
@@ -200,12 +216,10 @@ def changed_cells(
 
 def remediate_cells(cells: DataFrame, mode: str = "mask", text: str = "text", **options) -> DataFrame:
     """A tidy table of cells (sheets, document parts) with ``text`` sanitised and ``changed`` set."""
-    before = F.col(text)
-    after = F.when(strip(before) == "", before).otherwise(sanitize(before, mode, **options))
-    out = cells.withColumn("_after", after).withColumn(
-        "changed", ~before.eqNullSafe(F.col("_after"))
-    )
-    return out.withColumn(text, F.col("_after")).drop("_after")
+    staged = cells.withColumn("_texts", F.array(F.col(text)))
+    out = staged.withColumn("_clean", _sanitize_all(cells.sparkSession, _how(mode, options)))
+    changed = ~F.col(text).eqNullSafe(F.col("_clean")[0])
+    return out.withColumns({"changed": changed, text: F.col("_clean")[0]}).drop("_texts", "_clean")
 
 
 # A whole text document is one cell.

@@ -15,12 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idveil.functions.columns import as_col, strip
-from idveil.functions.context import (
-    column_entity,
-    entity_of_header,
-    header_is_penalised,
-    is_penalised,
-)
+from idveil.functions.context import entity_of_header, header_is_penalised
 from idveil.functions.text import may_hold_identifier
 
 UNNAMED = "(unnamed)"
@@ -69,14 +64,15 @@ def cell(
 ) -> Column:
     """One cell. A name given as text has its header tests done here and now.
 
-    An *error* cell carries the message of a read error instead of data.
+    Names that come as data are tested later, and only for the cells that may hold an
+    identifier; until then ``penalised`` is null. An *error* cell carries the message of a read error instead of data.
     """
     if isinstance(column, str):
         entity: Column = F.lit(entity_of_header(column)).cast("string")
         penalised: Column = F.lit(header_is_penalised(column))
         column = F.lit(column)
     else:
-        entity, penalised = column_entity(column), is_penalised(column)
+        entity, penalised = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     return F.struct(
         ordinal.cast("int").alias("ord"),
         column.alias("column"),
