@@ -167,7 +167,7 @@ def _sanitize_all(session: SparkSession, how: _How) -> Column:
 def _before_and_after(df: DataFrame, columns: list[str], how: _How) -> DataFrame:
     """*df* with ``_texts`` and ``_clean``: the columns as text, before and after."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    texts = F.array(*[text_of(F.col(f"`{c}`"), types[c]) for c in columns])
+    texts = F.array(*[text_of(c, types[c]) for c in columns])
     staged = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], texts.alias("_texts"))
     return staged.select("*", _sanitize_all(df.sparkSession, how).alias("_clean"))
 

@@ -21,31 +21,28 @@ from idveil.functions.text import may_hold_identifier
 UNNAMED = "(unnamed)"
 
 
-def _float_text(value: Column) -> Column:
+def _float_text(name: str) -> Column:
     """Shortest decimal form without an exponent below 1e16, as Python prints floats."""
-    size = F.abs(value)
-    plain = value.cast("string")
-    wide = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
-    exponent = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), r"E(\d)", "e+$1"),
-        r"E-(\d)$",
-        "e-0$1",
-    )
-    exponent = F.regexp_replace(exponent, "E-", "e-")
-    return (
-        F.when(F.isnan(value), F.lit(None))
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), plain)
-        .when((size >= 1e-4) & (size < 1e16), wide)
-        .otherwise(exponent)
+    x = f"`{name}`"
+    return F.expr(
+        rf"""
+        case when isnan({x}) then null
+             when {x} = 0 or (abs({x}) >= 1e-3 and abs({x}) < 1e7) then cast({x} as string)
+             when abs({x}) >= 1e-4 and abs({x}) < 1e16
+             then regexp_replace(cast(cast({x} as decimal(38, 18)) as string), r'(\.\d+?)0+$', '$1')
+             else regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                  cast({x} as string), r'\.0E', 'E'), r'E(\d)', 'e+$1'), r'E-(\d)$', 'e-0$1'), 'E-', 'e-')
+        end"""
     )
 
 
-def text_of(value: Column, data_type: T.DataType) -> Column:
-    """A cell value as text; nested values become JSON, missing ones stay null."""
+def text_of(name: str, data_type: T.DataType) -> Column:
+    """The values of a column as text; nested values become JSON, missing ones stay null."""
+    value = F.col(f"`{name}`")
     if isinstance(data_type, T.StringType):
         return value
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return _float_text(value)
+        return _float_text(name)
     if isinstance(data_type, T.BooleanType):
         return F.initcap(value.cast("string"))
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
@@ -94,13 +91,14 @@ def present(cells: Column) -> Column:
     return F.filter(cells, lambda c: c["text"].isNotNull() & (c["text"] != ""))
 
 
-def _may_hold(value: Column, data_type: T.DataType) -> Column | None:
+def _may_hold(name: str, data_type: T.DataType) -> Column | None:
     """Whether a value of this type may hold an identifier, tested before it becomes text."""
     if isinstance(data_type, _INERT):
         return None
+    value = F.col(f"`{name}`")
     if isinstance(data_type, (T.IntegerType, T.LongType)):
         return (value >= 100_000_000) | (value <= -100_000_000)  # nine digits or more
-    test = may_hold_identifier(text_of(value, data_type))
+    test = may_hold_identifier(text_of(name, data_type))
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         # Up to six digits with up to two decimals stay below nine digits.
         short = (F.abs(value) < 1e6) & (F.floor(value * 100 + 0.5) / 100 == value)
@@ -115,7 +113,7 @@ def with_candidates(df: DataFrame, columns: list[str]) -> DataFrame:
     end here, before any text, array or struct is built for them.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    tests = [_may_hold(F.col(f"`{c}`"), types[c]) for c in columns]
+    tests = [_may_hold(c, types[c]) for c in columns]
     some = reduce(lambda a, b: a | b, [t for t in tests if t is not None], F.lit(False))
     # The increasing id keeps the filter above the projection it stands on. Pushed below,
     # it would repeat the expressions of computed columns once per test.
@@ -150,7 +148,7 @@ def table_rows(
             cell(
                 F.lit(i),
                 n or UNNAMED,
-                strip(text_of(F.col(f"`{n}`"), types[n])),
+                strip(text_of(n, types[n])),
                 isinstance(types[n], _INERT),
             )
             for i, n in enumerate(names)
