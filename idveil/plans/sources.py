@@ -17,12 +17,17 @@ _COLUMNS = ("file", "sheet", "sheet_ord", "row", "cells", "row_context")
 
 
 def path_rows(
-    spark: SparkSession, path: str, multiline_csv: bool = True, only: tuple[str, ...] | None = None
+    spark: SparkSession,
+    path: str,
+    multiline_csv: bool = True,
+    only: tuple[str, ...] | None = None,
+    only_candidates: bool = False,
 ) -> DataFrame | None:
     """Rows of every supported file under *path* (recursive), or None if there is none.
 
     Suffixes count whatever their case; files with other suffixes are passed over. A
-    path that does not exist is an error.
+    path that does not exist is an error. ``only_candidates`` leaves out Parquet rows
+    that cannot yield a finding before anything is built for them.
     """
     found = f.list_path(spark, path)
     sources = {
@@ -31,7 +36,7 @@ def path_rows(
         "text": lambda: f.text_rows(spark, path, splits=found.bound(*TEXT_SUFFIXES)),
         "json": lambda: f.json_rows(spark, path),
         "jsonl": lambda: f.jsonl_rows(spark, path, found.bound("jsonl")),
-        "parquet": lambda: _with_context(f.parquet_rows(spark, path)),
+        "parquet": lambda: _with_context(f.parquet_rows(spark, path, only_candidates)),
     }
     suffixes = {name: (TEXT_SUFFIXES if name == "text" else (name,)) for name in sources}
     chosen = [
@@ -61,7 +66,7 @@ def scan_path(
     """
     o = options or ScanOptions(**changes)
     only = CELL_MODE_SUFFIXES if o.dedup == "cell" else None
-    rows = path_rows(spark, path, multiline_csv, only)
+    rows = path_rows(spark, path, multiline_csv, only, o.settings().gated)
     if rows is None:
         rows = cell_rows(spark.createDataFrame([], "text string"))
     return scan_rows(rows, o)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from idveil.functions.columns import as_col, strip
 from idveil.sources.tables import cell, present
 
-_LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]"
+_LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def column_letter(number: Column | str) -> Column:

@@ -38,7 +38,7 @@ def split_small(spark):
 
 
 def test_csv(spark, tmp_path):
-    write(tmp_path, "a.csv", "﻿name,pan_no\nasha, ABCPD1234E \n\n,XYZCA5678F\n")
+    write(tmp_path, "a.csv", "\ufeffname,pan_no\nasha, ABCPD1234E \n\n,XYZCA5678F\n")
     write(tmp_path, "sub/b.CSV", 'note,"no, te"\n"line 1\nline 2","say ""hi"""\nx\n')
     rows = fs.csv_rows(spark, str(tmp_path))
     assert cells_of(rows) == [
