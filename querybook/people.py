@@ -1,7 +1,7 @@
 """Identifiers derived from the customer table, by SQL that Spark and DuckDB both accept.
 
 Every 5th person has a wrong check digit, every 7th repeats the values of the fifth
-person before, every 11th keeps an identifier in an invoice column, every 13th packs
+person before, every 11th has the number in an invoice column instead, every 13th packs
 two values into one note. Check digits are added per engine.
 """
 
@@ -63,7 +63,7 @@ from (
 
 # Columns of the wide table that are built from the identifiers by the same SQL on both sides.
 WIDE_SQL = """
-select id, source, aadhaar_no, pan_no, gstin, mobile as phone_no, account_no, ifsc,
+select id, source, case when id % 11 = 0 then null else aadhaar_no end as aadhaar_no, pan_no, gstin, mobile as phone_no, account_no, ifsc,
        voter_id, passport_no,
        case when id % 11 = 0 then aadhaar_no
             else concat('INV-', cast(id as string)) end as invoice_no,
