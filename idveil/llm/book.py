@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from idveil.llm import exact_dedup, line_dedup, packing, pieces
+from idveil.llm import exact_dedup, line_dedup, packing, pieces, quality_rules, secrets
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_secret_scans": secrets.op2_secret_scans,
     "op6_packing": packing.op6_packing,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_line_dedup": line_dedup.op8_line_dedup,
