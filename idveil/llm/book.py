@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from idveil.llm import exact_dedup, line_dedup, packing, pieces, quality_rules, secrets, shingle_join, warc
+from idveil.llm import exact_dedup, line_dedup, ngram_lm, packing, pieces, quality_rules, secrets, shingle_join, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op4_ngram_jaccard": shingle_join.op4_ngram_jaccard,
+    "op5_lm_scoring": ngram_lm.op5_lm_scoring,
     "op6_packing": packing.op6_packing,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_line_dedup": line_dedup.op8_line_dedup,
