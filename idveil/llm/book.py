@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from idveil.llm import exact_dedup, line_dedup, ngram_lm, packing, pieces, quality_rules, secrets, shingle_join, warc
+from idveil.llm import exact_dedup, line_dedup, ngram_lm, packing, pieces, quality_rules, secrets, shingle_join, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_ngram_jaccard": shingle_join.op4_ngram_jaccard,
     "op5_lm_scoring": ngram_lm.op5_lm_scoring,
     "op6_packing": packing.op6_packing,
