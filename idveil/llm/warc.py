@@ -12,6 +12,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from idveil.llm.common import let, table
 
@@ -94,7 +95,7 @@ def _markup_free(body: Column) -> Column:
     return F.regexp_replace(text, r"<[/!?A-Za-z][^>]*>", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(texts: pd.Series) -> pd.Series:
     """Entities as characters; only texts that hold an ampersand take the time."""
     return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
