@@ -1,10 +1,69 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicates, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents. run() writes each stage's result as Parquet, in the folder that spark.checkpoint.dir names, and reads it
+again as the next stage's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from idveil.llm import line_dedup, packing, quality_rules, secrets, shingle_join
+from idveil.llm.common import table, written
+
+#: The stages learn (quality rules) and pack, so SQL cannot express the rows of run(); tests hold them to brute force.
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars as of the present text (a null text keeps its number)."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned decision list keep; the list is learnt from the labels of sf_dir."""
+    return quality_rules.keep_good(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sites share."""
+    return _counted(line_dedup.drop_boilerplate(docs).select(*docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group with a similarity of 0.8 or more on five-word shingles."""
+    return shingle_join.keep_one(docs)
+
+
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with secrets replaced by a mark."""
+    return _counted(secrets.redact_secrets(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens, packed into sequences."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("line_dedup", boilerplate),
+    ("ngram_jaccard", near_duplicates),
+    ("secret_scans", redaction),
+    ("packing", pack),
+]
+
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
