@@ -190,6 +190,11 @@ def _document_features(rows: DataFrame, model: Toxicity, keep: str) -> DataFrame
                 for i in range(0, len(new), 20_000):
                     some = [unit(w) for w in new[i : i + 20_000]]
                     got = machine.words(some)
+                    # Characters put between letters: the word without them counts as well.
+                    joined = ["".join(filter(str.isalnum, u)) for u in some]
+                    other = np.array([k for k, (u, j) in enumerate(zip(some, joined)) if u != j], np.int64)
+                    if len(other):
+                        got[other] = np.maximum(got[other], machine.words([joined[k] for k in other]))
                     empty = np.array([not u for u in some], bool)
                     value = np.append(value, np.where(empty, -9.0, got).astype(np.float32))
                     single = np.append(single, np.array([len(u) == 1 for u in some], bool))
