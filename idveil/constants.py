@@ -27,7 +27,6 @@ UNUSUAL_SPACES = r"[\u00a0\u2000-\u200a\u202f\u205f\u3000]"
 CURLY_QUOTES = "\u2018\u2019\u201c\u201d"
 STRAIGHT_QUOTES = "''\"\""
 MIN_PART_CHARS = 5
-REFERENCE_CHUNK_CHARS = 512
 
 # --- Verhoeff (published 1969): the permutation the position tables iterate ----
 VERHOEFF_PERMUTATION = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)

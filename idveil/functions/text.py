@@ -68,16 +68,9 @@ def split_multi_value(text: Column | str) -> Column:
     ).otherwise(F.array(text))
 
 
-def cap_chunks(chunks: Column, max_chars: int | None) -> Column:
-    """Cut each chunk to *max_chars*; ``None`` (the default everywhere) keeps it whole."""
-    if max_chars is None:
-        return chunks
-    return F.transform(chunks, lambda c: F.substring(c, 1, max_chars))
-
-
-def normalise_cell(text: Column | str, max_chars: int | None = None) -> Column:
+def normalise_cell(text: Column | str) -> Column:
     """All steps above: cell text to the array of chunks the recognizers read."""
-    return cap_chunks(split_multi_value(normalise_text(text)), max_chars)
+    return split_multi_value(normalise_text(text))
 
 
 def normalise_text(text: Column | str) -> Column:

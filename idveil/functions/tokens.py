@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from idveil.functions.columns import as_col
 
-DEFAULT_SALT = "PHI_COMPLIANCE_SALT"  # fixed public value: only for comparable test runs
-TOKEN_CHARS = 8
+TOKEN_CHARS = 64  # the whole digest: shorter ones collide (8 characters from some 77,000 values on)
 _BLOCK = 64
 
 
@@ -26,10 +25,13 @@ def hmac_sha256(value: Column | str, key: str) -> Column:
     return F.sha2(F.concat(outer_pad, F.unhex(inner)), 256)
 
 
-def tokenize(
-    value: Column | str, entity: Column | str, salt: str = DEFAULT_SALT, chars: int = TOKEN_CHARS
-) -> Column:
-    """``TOK-<entity>-<hex>``; *entity* is a name or a Column of names."""
+def tokenize(value: Column | str, entity: Column | str, salt: str, chars: int = TOKEN_CHARS) -> Column:
+    """``TOK-<entity>-<hex>``; *entity* is a name or a Column of names.
+
+    The salt must be secret: under a known one, tokens of short numbers are found by trying all numbers.
+    """
+    if not salt:
+        raise ValueError("tokens need a secret salt")
     entity = F.lit(entity) if isinstance(entity, str) else entity
     digest = F.upper(F.substring(hmac_sha256(value, salt), 1, chars))
     return F.concat(F.lit("TOK-"), entity, F.lit("-"), digest)

@@ -29,7 +29,6 @@ from idveil.functions.context import (
 )
 from idveil.functions.registry import Chunk, Recognizer
 from idveil.functions.text import (
-    cap_chunks,
     has_shape,
     is_candidate,
     may_hold_identifier,
@@ -52,7 +51,6 @@ class Settings:
     use_penalty: bool = True
     masked: bool = True
     keep_clear_pans_as_masked: bool = False
-    max_chunk_chars: int | None = None
     keep: tuple[str, ...] = ()  # columns to carry along
 
     @property
@@ -114,7 +112,7 @@ def _chunk_steps(s: Settings, own_context: bool) -> list[Step]:
     context = F.col("row_context") if own_context else joined_cells()
     dense = row_is_dense("context") if s.use_row_context else F.lit(False)
     here = (*place, "dense", "ord", "column", "column_entity", "penalised", "error")
-    chunks = cap_chunks(split_multi_value("clean"), s.max_chunk_chars)
+    chunks = split_multi_value("clean")
     steps = [
         _select(*place, cells.alias("hits"), "row_context" if own_context else "cells"),
         # Only rows with a candidate have their neighbours joined and tested, once per row.

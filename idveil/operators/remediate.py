@@ -12,12 +12,13 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idveil.functions import recognizers as r
 from idveil.functions.columns import as_col, let, strip
 from idveil.functions.text import has_shape, is_candidate
-from idveil.functions.tokens import DEFAULT_SALT, TOKEN_CHARS, tokenize
-from idveil.sources.tables import text_of
+from idveil.functions.tokens import TOKEN_CHARS, tokenize
+from idveil.sources.tables import INERT, text_of
 
 MODES = ("mask", "redact", "tokenize")
 # In this order of precedence where two identifiers cover the same characters.
@@ -35,7 +36,7 @@ _SPAN = "array<struct<start:int,shorter:int,finder:int,nth:int,stop:int,text:str
 
 
 def _replacement(
-    entity: str, match: Column, mode: str, token: str | None, salt: str, token_chars: int
+    entity: str, match: Column, mode: str, token: str | None, salt: str | None, token_chars: int
 ) -> Column:
     if token:
         return F.lit(token)
@@ -73,21 +74,20 @@ def _spans(text: Column, upper: Column, finder: int, replace, entity: str, find)
 
 def _rewrite(text: Column, spans: Column) -> Column:
     """Put the replacements in, left to right; a span that overlaps a kept one is skipped."""
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(done: Column, span: Column) -> Column:
         put = F.struct(
             span["stop"].alias("at"),
             F.concat(
                 done["out"],
-                F.substring(text, done["at"], span["start"] - done["at"]),
-                span["text"],
+                F.array(F.substring(text, done["at"], span["start"] - done["at"]), span["text"]),
             ).alias("out"),
         )
         return F.when(span["start"] >= done["at"], put).otherwise(done)
 
     def finish(done: Column) -> Column:
-        return F.concat(done["out"], F.substring(text, done["at"], F.length(text)))
+        return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"], F.length(text)))
 
     return F.aggregate(F.array_sort(spans), start, step, finish)
 
@@ -95,7 +95,7 @@ def _rewrite(text: Column, spans: Column) -> Column:
 def sanitize(
     text: Column | str,
     mode: str = "mask",
-    salt: str = DEFAULT_SALT,
+    salt: str | None = None,
     mask_token: str | None = None,
     entities: Iterable[str] | None = None,
     token_chars: int = TOKEN_CHARS,
@@ -108,6 +108,8 @@ def sanitize(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+    if mode == "tokenize" and not mask_token and not salt:
+        raise ValueError("tokens need a secret salt")
     text = as_col(text)
     wanted = None if entities is None else {e.upper() for e in entities}
     finders = [f for f in _FINDERS if wanted is None or f[0] in wanted]
@@ -139,7 +141,7 @@ def sanitize(
 @dataclass(frozen=True)
 class _How:
     mode: str
-    salt: str = DEFAULT_SALT
+    salt: str | None = None
     mask_token: str | None = None
     entities: tuple[str, ...] | None = None
     token_chars: int = TOKEN_CHARS
@@ -167,7 +169,12 @@ def _sanitize_all(session: SparkSession, how: _How) -> Column:
 def _before_and_after(df: DataFrame, columns: list[str], how: _How) -> DataFrame:
     """*df* with ``_texts`` and ``_clean``: the columns as text, before and after."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    texts = F.array(*[text_of(c, types[c]) for c in columns])
+    def text(c: str) -> Column:
+        if isinstance(types[c], (T.DoubleType, T.FloatType)):
+            return F.when(F.isnan(f"`{c}`"), "NaN").otherwise(text_of(c, types[c]))
+        return text_of(c, types[c])
+
+    texts = F.array(F.lit(None).cast("string"), *map(text, columns))
     staged = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], texts.alias("_texts"))
     return staged.select("*", _sanitize_all(df.sparkSession, how).alias("_clean"))
 
@@ -179,13 +186,17 @@ def remediate(
     observation: Observation | None = None,
     **options,
 ) -> DataFrame:
-    """Every cell of the table sanitised. Non-text columns become text, as in a CSV copy.
+    """Every cell of the table sanitised. Columns that may hold an identifier become text, as in a CSV copy.
+
+    Columns of dates, times, flags and short numbers cannot hold one and stay as they are; a NaN stays ``NaN``.
 
     With an *observation*, the number of changed cells is counted in the same pass and
     can be read from it (``changed_cells``) once the result has been written. Further
     options are those of ``sanitize``.
     """
-    names = list(columns) if columns is not None else df.columns
+    types = {f.name: f.dataType for f in df.schema.fields}
+    wanted = list(columns) if columns is not None else df.columns
+    names = [c for c in wanted if not isinstance(types[c], INERT)]
     both = _before_and_after(df, names, _how(mode, options))
     if observation is not None:
         pairs = F.zip_with("_texts", "_clean", lambda a, b: ~a.eqNullSafe(b))
@@ -195,7 +206,7 @@ def remediate(
         )
     at = {c: i for i, c in enumerate(names)}
     return both.select(
-        *[F.col("_clean")[at[c]].alias(c) if c in at else F.col(f"`{c}`") for c in df.columns]
+        *[F.col("_clean")[at[c] + 1].alias(c) if c in at else F.col(f"`{c}`") for c in df.columns]
     )
 
 
@@ -207,7 +218,7 @@ def changed_cells(
     both = _before_and_after(df.select(*[F.col(f"`{c}`") for c in names]), names, _how(mode, options))
     counts = both.select(
         *[
-            F.count_if(~F.col("_texts")[i].eqNullSafe(F.col("_clean")[i])).cast("bigint").alias(c)
+            F.count_if(~F.col("_texts")[i + 1].eqNullSafe(F.col("_clean")[i + 1])).cast("bigint").alias(c)
             for i, c in enumerate(names)
         ]
     )

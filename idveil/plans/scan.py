@@ -24,7 +24,6 @@ class ScanOptions:
     row_context / penalty     neighbour boost and header penalty
     masked                    also report values that are masked already
     keep_clear_pans_as_masked report a clear PAN holding an X as PAN_MASKED too
-    max_chunk_chars           cut chunks (512 gives the historic limit); default: whole texts
     """
 
     entities: Iterable[str] | None = None
@@ -34,7 +33,6 @@ class ScanOptions:
     penalty: bool = True
     masked: bool = True
     keep_clear_pans_as_masked: bool = False
-    max_chunk_chars: int | None = None
     registry: Registry = RECOGNIZERS
 
     def settings(self, keep: tuple[str, ...] = ()) -> Settings:
@@ -44,7 +42,6 @@ class ScanOptions:
             self.penalty,
             self.masked,
             self.keep_clear_pans_as_masked,
-            self.max_chunk_chars,
             keep,
         )
 

@@ -12,7 +12,6 @@ from idveil.sources import files as f
 from idveil.sources.catalog import catalog_tables, database_rows
 from idveil.sources.tables import cell_rows, row_context
 
-CELL_MODE_SUFFIXES = ("csv",)
 _COLUMNS = ("file", "sheet", "sheet_ord", "row", "cells", "row_context")
 
 
@@ -65,8 +64,7 @@ def scan_path(
     Spark's partitions are the parallelism, whatever the number of files.
     """
     o = options or ScanOptions(**changes)
-    only = CELL_MODE_SUFFIXES if o.dedup == "cell" else None
-    rows = path_rows(spark, path, multiline_csv, only, o.settings().gated)
+    rows = path_rows(spark, path, multiline_csv, only_candidates=o.settings().gated)
     if rows is None:
         rows = cell_rows(spark.createDataFrame([], "text string"))
     return scan_rows(rows, o)

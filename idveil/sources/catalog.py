@@ -38,14 +38,14 @@ def database_rows(
 
 
 def catalog_tables(spark: SparkSession, database: str) -> dict[str, DataFrame]:
-    """Tables of a catalog schema by name. A schema that does not exist is an error."""
+    """Tables of a catalog schema by name; views hold no data of their own and are left out. A schema that does not exist is an error."""
     if not spark.catalog.databaseExists(database):
         raise ValueError(f"database not found: {database}")
     found = spark.catalog.listTables(database)
     return {
         t.name: spark.table(f"`{database}`.`{t.name}`")
         for t in sorted(found, key=lambda t: t.name)
-        if not t.isTemporary
+        if not t.isTemporary and t.tableType != "VIEW"
     }
 
 

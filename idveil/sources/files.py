@@ -46,7 +46,8 @@ def list_path(spark: SparkSession, path: str) -> Listing:
         raise
     size = F.expr(f"{_split_bytes(spark)}L")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix")
-    counts = found.groupBy(suffix).agg(F.sum(F.floor(F.col("length") / size) + 1).alias("n"))
+    known = {*TEXT_SUFFIXES, "csv", "tsv", "json", "jsonl", "parquet"}
+    counts = found.select("length", suffix).where(F.col("suffix").isin(*known)).groupBy("suffix").agg(F.sum(F.floor(F.col("length") / size) + 1).alias("n"))
     spare = spark.sparkContext.defaultParallelism
     return Listing(path, {r["suffix"]: int(r["n"]) + spare for r in counts.collect()})
 

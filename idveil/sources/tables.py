@@ -51,7 +51,7 @@ def text_of(name: str, data_type: T.DataType) -> Column:
 
 
 # Values of these types never spell an identifier; they only count as row context.
-_INERT = (
+INERT = (
     T.BooleanType, T.ByteType, T.ShortType, T.DateType, T.TimestampType, T.TimestampNTZType
 )
 
@@ -93,7 +93,7 @@ def present(cells: Column) -> Column:
 
 def _may_hold(name: str, data_type: T.DataType) -> Column | None:
     """Whether a value of this type may hold an identifier, tested before it becomes text."""
-    if isinstance(data_type, _INERT):
+    if isinstance(data_type, INERT):
         return None
     value = F.col(f"`{name}`")
     if isinstance(data_type, (T.IntegerType, T.LongType)):
@@ -149,7 +149,7 @@ def table_rows(
                 F.lit(i),
                 n or UNNAMED,
                 strip(text_of(n, types[n])),
-                isinstance(types[n], _INERT),
+                isinstance(types[n], INERT),
             )
             for i, n in enumerate(names)
         ]

@@ -926,7 +926,7 @@ def _sanitized(spark, sf, mode: str) -> DataFrame:
     df = people(spark, sf).select(
         "id", *_CLEAN_COLUMNS[:-1], F.concat(F.lit("tel "), "mobile", F.lit(", "), "segment").alias("note")
     )
-    return iv.remediate(df, mode, columns=_CLEAN_COLUMNS, salt=SALT)
+    return iv.remediate(df, mode, columns=_CLEAN_COLUMNS, salt=SALT, token_chars=8)
 
 
 @query("sanitize_mask", with_people(_sanitized_sql(True, lambda e, v, m: m)))
@@ -947,13 +947,12 @@ def _(spark, sf):
 @query(
     "sanitize_overlap",
     with_people(
-        "select id, concat('a/c [X], tel [X]; [X] ', segment) as text from people "
-        "where not regexp_matches(aadhaar_no, '^91[6-9]') and length(account_no) = 11"
+        "select id, concat('a/c [X], tel [X]; [X] ', segment) as text from people"
     ),
 )
 def _(spark, sf):
     """An Aadhaar is also an account number, and values of several kinds share a text."""
-    persons = people(spark, sf).where(~F.col("aadhaar_no").rlike("^91[6-9]") & (F.length("account_no") == 11))
+    persons = people(spark, sf)
     text = F.concat(
         F.lit("a/c "), "account_no", F.lit(", tel "), "mobile", F.lit("; "), "aadhaar_no", F.lit(" "), "segment"
     )
@@ -1038,9 +1037,10 @@ def _(spark, sf):
     with_people(
         """,
 corpus as (
-  select 'AADHAAR' as entity, id % 5 = 0 as negative, id % 5 <> 0 and not regexp_matches(aadhaar_no, '^91[6-9]') as hit
-  from people where not regexp_matches(aadhaar_no, '^91[6-9]|00000000|11111111|22222222|33333333|44444444|55555555|66666666|77777777|88888888|99999999')
-  union all select 'GSTIN', id % 5 = 0, id % 5 <> 0 from people where k % 40 between 1 and 38
+  select 'AADHAAR' as entity, id % 5 = 0 as negative,
+         id % 5 <> 0 and not regexp_matches(aadhaar_no, '^91[6-9]|00000000|11111111|22222222|33333333|44444444|55555555|66666666|77777777|88888888|99999999') as hit
+  from people
+  union all select 'GSTIN', id % 5 = 0, id % 5 <> 0 from people
   union all select 'PASSPORT', left(passport_no, 1) in ('O', 'Q', 'X'), left(passport_no, 1) not in ('O', 'Q', 'X') from people
 )
 select entity, count(*) filter (not negative) as positives, count(*) filter (not negative and hit) as found,
@@ -1052,12 +1052,11 @@ from corpus group by 1"""
 def _(spark, sf):
     persons = people(spark, sf)
     kind = F.when(F.col("id") % 5 == 0, "negative").otherwise("positive")
-    aadhaar = persons.where(~F.col("aadhaar_no").rlike(rf"^91[6-9]|{d.REPEATED}"))
     bad_letter = F.substring("passport_no", 1, 1).isin("O", "Q", "X")
     corpus = (
-        aadhaar.select(F.lit("AADHAAR").alias("entity"), kind.alias("kind"), F.col("aadhaar_no").alias("value"))
+        persons.select(F.lit("AADHAAR").alias("entity"), kind.alias("kind"), F.col("aadhaar_no").alias("value"))
         .unionByName(
-            persons.where((F.col("k") % 40).between(1, 38)).select(
+            persons.select(
                 F.lit("GSTIN").alias("entity"), kind.alias("kind"), F.col("gstin").alias("value")
             )
         )

@@ -139,7 +139,7 @@ def test_directory(spark, tmp_path):
     only = write(tmp_path, "one/c.csv", "pan\nXYZCA5678F\n")
     assert [r["masked_value"] for r in iv.scan_path(spark, only).collect()] == ["XXXXX5678X"]
     cells = iv.scan_path(spark, str(tmp_path), options=iv.cell_mode())
-    assert {r["file"].split("/")[-1] for r in cells.collect()} == {"a.csv", "c.csv"}
+    assert {r["file"].split("/")[-1] for r in cells.collect()} == {"a.csv", "b.txt", "c.csv"}
 
 
 def test_nothing_to_read_and_missing_path(spark, tmp_path):
@@ -213,3 +213,22 @@ def test_floats_read_as_python_prints_them(spark):
     values = [0.0, 1.0, 0.1, 123.45, 9876543210.0, 12345678.5, 1e15, 1e16, 1.5e17, 0.001, 0.0005, 1e-5, 1.25e-7, -9876543210.5]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "r int, v double")
     assert [c[2] for c in cells_of(table_rows(df, row="r"))] == [str(v) for v in values]
+
+
+def test_views_are_not_scanned_as_tables(spark, tmp_path):
+    spark.sql("create database if not exists of_views")
+    spark.sql(f"create table of_views.t using parquet location '{tmp_path}/t' as select 'ABCPD1234E' as pan")
+    spark.sql("create view of_views.a_view as select * from of_views.t")
+    try:
+        assert [r["sheet"] for r in iv.scan_tables(spark, "of_views").collect()] == ["t"]
+    finally:
+        spark.sql("drop database of_views cascade")
+
+
+def test_cell_mode_reads_every_format(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("ABCPD1234E\n")
+    (tmp_path / "b.jsonl").write_text('{"p": "ABCPD1234E"}\n')
+    (tmp_path / "c.csv").write_text("p\nABCPD1234E\n")
+    (tmp_path / "d.1699999999").write_text("ABCPD1234E\n")
+    found = iv.scan_path(spark, str(tmp_path), options=iv.cell_mode())
+    assert {r["file"].rsplit("/")[-1] for r in found.collect()} == {"a.txt", "b.jsonl", "c.csv"}
