@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idveil.llm.common import SPACES, table
+from idveil.llm.common import SPACES, table, written
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -32,40 +32,41 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_sites(docs: DataFrame, site_col: str = "source", text_col: str = "text", lg_k: int = LG_K) -> DataFrame:
+def hashed_lines(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
+    """id, site, hashes (of the lines with words): the one pass over the texts that all counts share."""
+    return docs.select(
+        F.col(id_col).alias("id"),
+        F.col(site_col).cast("string").alias("site"),
+        F.array_compact(F.transform(_lines(F.col(text_col)), _key)).alias("hashes"),
+    )
+
+
+def line_sites(hashed: DataFrame, lg_k: int = LG_K) -> DataFrame:
     """hash, sketch of its sites, n_rows: one row per distinct line. Null sites are no sites."""
-    lines = docs.select(F.col(site_col).cast("string").alias("site"), F.explode(_lines(F.col(text_col))).alias("line"))
     return (
-        lines.select("site", _key(F.col("line")).alias("hash"))
-        .where("hash IS NOT NULL AND site IS NOT NULL")
+        hashed.where("site IS NOT NULL")
+        .select("site", F.explode("hashes").alias("hash"))
         .groupBy("hash")
         .agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count(F.lit(1)).alias("n_rows"))
     )
 
 
-def spread_lines(
-    docs: DataFrame,
-    min_sites: int = MIN_SITES,
-    site_col: str = "source",
-    text_col: str = "text",
-    lg_k: int = LG_K,
-) -> DataFrame:
+def spread_lines(hashed: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """hash of each line on min_sites distinct sites or more.
 
     A line with fewer rows than min_sites cannot be on so many sites and leaves before its estimate is taken.
     """
     margin = ERRORS * 1.04 / 2 ** (lg_k / 2)
-    sketched = (
-        line_sites(docs, site_col, text_col, lg_k)
+    sketched = written(
+        line_sites(hashed, lg_k)
         .where(F.col("n_rows") >= min_sites)
         .select("hash", F.hll_sketch_estimate("sketch").alias("estimate"))
     )
     sure = sketched.where(F.col("estimate") > min_sites * (1 + margin)).select("hash")
     near = sketched.where(F.abs(F.col("estimate") - min_sites) <= min_sites * margin).select("hash")
-    lines = docs.select(F.col(site_col).cast("string").alias("site"), F.explode(_lines(F.col(text_col))).alias("line"))
     exact = (
-        lines.select("site", _key(F.col("line")).alias("hash"))
-        .where("hash IS NOT NULL AND site IS NOT NULL")
+        hashed.where("site IS NOT NULL")
+        .select("site", F.explode("hashes").alias("hash"))
         .join(near, "hash", "left_semi")
         .distinct()
         .groupBy("hash")
@@ -96,12 +97,10 @@ def drop_boilerplate(
     added = {"n_lines", "n_removed", "left_whole"} & set(docs.columns)
     if added:
         docs = docs.drop(*added)
-    spread = spread_lines(docs, min_sites, site_col, text_col, lg_k)
+    hashed = written(hashed_lines(docs, id_col, site_col, text_col))
     hits = (
-        docs.select(F.col(id_col).alias("__id"), F.explode(_lines(F.col(text_col))).alias("line"))
-        .select("__id", _key(F.col("line")).alias("hash"))
-        .where("hash IS NOT NULL")
-        .join(spread, "hash", "left_semi")
+        hashed.select(F.col("id").alias("__id"), F.explode("hashes").alias("hash"))
+        .join(spread_lines(hashed, min_sites, lg_k), "hash", "left_semi")
         .groupBy("__id")
         .agg(F.collect_set("hash").alias("__gone"))
     )
