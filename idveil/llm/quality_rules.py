@@ -14,12 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idveil.llm.common import SPACES, WORD, let, table
+from idveil.llm.common import SPACES, WORD, let, table, written
 
 #: Labelled rows that learning uses at most.
 MAX_TRAINING_ROWS = 20_000
-#: Quantiles of a statistic that may become thresholds.
-QUANTILES = tuple(i / 32 for i in range(1, 32))
+#: Thresholds are the middles between neighbouring ones of these quantiles of a statistic.
+QUANTILES = tuple(i / 32 for i in range(33))
 #: A rule must be this precise on the growing and on the pruning half, and cover so many bad rows in the growing half.
 MIN_PRECISION, MIN_COVER = 0.95, 5
 MAX_RULES, MAX_CONDITIONS = 16, 4
@@ -155,14 +155,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
     rows = statistics(chosen, "id", "text").join(sample, F.col("doc_id") == F.col("id"))
     # A few MB at most; computed once, for the quantiles and then for the counts.
-    from idveil.llm.common import written
-
     rows = written(rows.select("id", "label", *[F.col(s).cast("double").alias(s) for s in STATISTICS]))
     cuts = rows.agg(*[F.percentile_approx(s, [*QUANTILES], 10_000).alias(s) for s in STATISTICS]).first()
-    thresholds = {s: sorted({float(x) for x in cuts[s] or []}) for s in STATISTICS}
-    bin_of = lambda s: F.size(F.filter(F.array(*map(F.lit, thresholds[s])), lambda t: F.col(s) > t))
-    if not all(thresholds.values()):
-        return []
+    seen = {s: sorted({float(x) for x in cuts[s] or []}) for s in STATISTICS}
+    thresholds = {s: [(a + b) / 2 for a, b in zip(seen[s], seen[s][1:])] for s in STATISTICS}
+
+    def bin_of(s: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, thresholds[s])), lambda t: F.col(s) > t)) if thresholds[s] else F.lit(0)
+
     half = (F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 0).alias("grow")
     cells = (
         rows.select(half, (F.col("label") == 0).alias("bad"), *[bin_of(s).alias(s) for s in STATISTICS])
@@ -175,7 +175,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def cover(cells: list[tuple[bool, bool, tuple[int, ...], int]], thresholds: dict[str, list[float]]) -> list[Rule]:
     """Sequential covering over counted combinations of bins: (grow, bad, bins, count)."""
-    tests = [(i, above, t) for i, s in enumerate(STATISTICS) for t in range(len(thresholds[s])) for above in (True, False)]
 
     def holds(test, bins) -> bool:
         i, above, t = test
@@ -219,7 +218,6 @@ def cover(cells: list[tuple[bool, bool, tuple[int, ...], int]], thresholds: dict
         return (bad + 1) / (bad + good + 1)
 
     rules: list[Rule] = []
-    assert tests or not cells
     while len(rules) < MAX_RULES:
         grow, prune = [c for c in cells if c[0]], [c for c in cells if not c[0]]
         if not any(c[1] for c in grow):
