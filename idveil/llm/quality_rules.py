@@ -76,12 +76,16 @@ def _covered_words(keys: Column) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    starts = F.sequence(F.lit(0), F.size(words) - 5)
-    keys = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(5)]))
-    repeats = let(
-        keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), 0).otherwise(_covered_words(k))
-    )
-    return F.when(F.size(words) < 5, 0).otherwise(repeats)
+    def count(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(w) - 5)
+        keys = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(5)]))
+        repeats = let(
+            keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), 0).otherwise(_covered_words(k))
+        )
+        return F.when(F.size(w) < 5, 0).otherwise(repeats)
+
+    # Bound once: a projection that the optimiser merges must not split the text again for each window.
+    return let(words, count)
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,8 +272,10 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that judge keeps."""
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    judged = judge(packed, rules, "row", "text").where("kept")
-    return judged.select("doc_id.*")
+    judged = judge(packed, rules, "row", "text")
+    # An outer generator, unlike a filter, is not pushed below the statistics, which would compute them twice.
+    good = judged.select(F.explode_outer(F.array(F.when(F.col("kept"), F.col("doc_id")))).alias("row"))
+    return good.where("row IS NOT NULL").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
