@@ -18,7 +18,6 @@ _COLUMNS = ("file", "sheet", "sheet_ord", "row", "cells", "row_context")
 def path_rows(
     spark: SparkSession,
     path: str,
-    multiline_csv: bool = True,
     only: tuple[str, ...] | None = None,
     only_candidates: bool = False,
 ) -> DataFrame | None:
@@ -30,7 +29,7 @@ def path_rows(
     """
     found = f.list_path(spark, path)
     sources = {
-        "csv": lambda: f.csv_rows(spark, path, multiline_csv, splits=found.bound("csv")),
+        "csv": lambda: f.csv_rows(spark, path, splits=found.bound("csv")),
         "tsv": lambda: f.tsv_rows(spark, path, splits=found.bound("tsv")),
         "text": lambda: f.text_rows(spark, path, splits=found.bound(*TEXT_SUFFIXES)),
         "json": lambda: f.json_rows(spark, path),
@@ -56,7 +55,6 @@ def scan_path(
     spark: SparkSession,
     path: str,
     options: ScanOptions | None = None,
-    multiline_csv: bool = True,
     **changes,
 ) -> DataFrame:
     """Findings in a file or directory tree; read errors are findings too.
@@ -64,7 +62,7 @@ def scan_path(
     Spark's partitions are the parallelism, whatever the number of files.
     """
     o = options or ScanOptions(**changes)
-    rows = path_rows(spark, path, multiline_csv, only_candidates=o.settings().gated)
+    rows = path_rows(spark, path, only_candidates=o.settings().gated)
     if rows is None:
         rows = cell_rows(spark.createDataFrame([], "text string"))
     return scan_rows(rows, o)

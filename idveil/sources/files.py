@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from idveil.constants import TEXT_SUFFIXES
 from idveil.functions.columns import strip
+from idveil.sources.delimited import delimited_records
 from idveil.sources.json_cells import document_rows, line_rows
 from idveil.sources.numbering import numbered, split_offsets, tagged
 from idveil.sources.tables import UNNAMED, cell, error_cells, present, table_rows
@@ -88,103 +89,58 @@ def _row(file: Column, row: Column, cells: Column, context: Column) -> list[Colu
 
 
 # --- delimited files ---------------------------------------------------------------
-def _width(lines: DataFrame, separator: str) -> int:
-    """The most fields any line can have (one number from a map-side aggregate)."""
-    without = F.length(F.replace("value", F.lit(separator), F.lit("")))
-    return (lines.agg(F.max(F.length("value") - without)).first()[0] or 0) + 1
-
-
-def _named_cells(names: Column, values: Column) -> Column:
-    return F.transform(
-        F.arrays_zip(names.alias("name"), values.alias("value")),
-        lambda x, i: cell(i, x["name"], strip(x["value"])),
-    )
-
-
-def csv_rows(
-    spark: SparkSession,
-    path: str,
-    multiline: bool = True,
-    max_columns: int | None = None,
-    splits: int | None = None,
+def _delimited(
+    spark: SparkSession, path: str, suffix: str, separator: str, blank_counts: bool, splits: int | None
 ) -> DataFrame:
-    """CSV files, each with its own header; the first record after it is row 2.
-
-    Files with different headers may lie in one directory: records are read by position
-    and named by the first record of their own file. A record with more fields than its
-    header is reported as a ``FILE_READ_ERROR``; it and the records after it are still read.
-
-    Quoted line breaks need ``multiline``, which reads each file in one task. Where no
-    field holds a line break, ``multiline=False`` lets large files be split.
+    """Records after the head of each file: _file, _row, fields, head."""
+    lines = tagged(_reader(spark, suffix).text(path))
+    # A mark at the start of a file is no part of its first name.
+    lines = lines.withColumn("value", F.when(F.col("_block") == 0, F.regexp_replace("value", _BOM, "")).otherwise(F.col("value")))
+    records, heads = delimited_records(lines, separator, blank_counts, splits)
+    first = records.groupBy("_file").agg(F.min("_row").alias("_head_row")) if blank_counts else None
+    joined = records.join(heads, "_file", "left").withColumn("head", F.coalesce("head", F.array().cast("array<string>")))
+    if first is None:
+        return joined.where(F.col("_row") > 1)
+    return joined.join(first, "_file").where(F.col("_row") > F.col("_head_row"))
+
+
+def csv_rows(spark: SparkSession, path: str, splits: int | None = None) -> DataFrame:
+    """CSV files, each with its own header; the first record after it is row 2. Empty lines are no rows.
+
+    Files with different headers may lie in one directory: records are named by the first record of their own file,
+    whatever their width. Fields may hold line breaks (read as line feeds). A record with more fields than its header
+    is reported as a ``FILE_READ_ERROR``; all its fields and the records after it are still read.
     """
-    # One spare column shows a surplus field even in the widest record.
-    width = (max_columns or _width(_reader(spark, "csv").text(path), ",")) + 1
-    fields = [f"_c{i}" for i in range(width)]
-    raw = (
-        _reader(spark, "csv")
-        .schema(", ".join(f"{c} string" for c in fields))
-        .option("encoding", "UTF-8")
-        .option("header", False)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .csv(path)
-    )
-    values = F.array(*[F.col(c) for c in fields])
-    used = F.array_max(F.transform(values, lambda v, i: F.when(v.isNotNull(), i + 1)))
-    records = tagged(raw)
-    offsets = split_offsets(records, F.slice(values, F.lit(1), used))
-    rows = numbered(records, offsets, splits).where(F.col("_row") > F.col("_head_row"))
-
-    size = F.size("_head")
-    heads = F.transform(
-        F.col("_head"),
-        lambda v: F.coalesce(F.nullif(F.regexp_replace(v, _BOM, ""), F.lit("")), F.lit(UNNAMED)),
+    rows = _delimited(spark, path, "csv", ",", False, splits)
+    size = F.size("head")
+    cells = F.transform(
+        "fields",
+        lambda v, i: cell(i, F.coalesce(F.nullif(F.get("head", i), F.lit("")), F.lit(UNNAMED)), strip(v)),
     )
-    names = F.concat(heads, F.array_repeat(F.lit(UNNAMED), F.lit(width) - size))
-    surplus = F.exists(F.slice(values, size + 1, F.lit(width)), lambda v: v.isNotNull())
-    cells = present(_named_cells(names, values))
     error = error_cells("CorruptRecord: more fields than the header names")
-    filled = F.filter(F.transform(values, strip), lambda v: v != "")
+    filled = F.filter(F.transform("fields", strip), lambda v: v != "")
     return rows.select(
         *_row(
             F.col("_file"),
             F.col("_row"),
-            F.when(surplus, F.concat(cells, error)).otherwise(cells),
+            F.when(F.size("fields") > size, F.concat(present(cells), error)).otherwise(present(cells)),
             F.array_join(filled, " "),
         )
     )
 
 
-def tsv_rows(
-    spark: SparkSession, path: str, max_columns: int | None = None, splits: int | None = None
-) -> DataFrame:
-    """Tab-separated files: the header is a row, blank lines count, extra cells are ``col_i``."""
-    lines = _reader(spark, "tsv").text(path)
-    width = max_columns or _width(lines, "\t")
-    schema = ", ".join(f"_c{i} string" for i in range(width))
-
-    def fields(line: str) -> Column:
-        return F.from_csv(line, schema, {"sep": "\t", "escape": '"'})
-
-    records = tagged(lines)
-    offsets = split_offsets(records, F.nullif("value", F.lit("")))
-    rows = numbered(records, offsets, splits).where(
-        (F.col("value") != "") & (F.col("_row") > F.col("_head_row"))
-    )
-    split = rows.select(
-        "_file", "_row", fields("value").alias("_v"), fields("_head").alias("_n")
-    )
-    values = F.array(*[F.col(f"_v._c{i}") for i in range(width)])
-    names = F.array(
-        *[
-            F.coalesce(F.regexp_replace(strip(f"_n._c{i}"), _BOM, ""), F.lit(f"col_{i + 1}"))
-            for i in range(width)
-        ]
-    )
-    context = F.array_join(F.filter(values, lambda v: v != ""), " ")
-    return split.select(
-        *_row(F.col("_file"), F.col("_row"), present(_named_cells(names, values)), context)
+def tsv_rows(spark: SparkSession, path: str, splits: int | None = None) -> DataFrame:
+    """Tab-separated files: the header is a row, empty lines count, extra cells are ``col_i``.
+
+    Fields in quotes may hold tabs and line breaks (read as line feeds).
+    """
+    rows = _delimited(spark, path, "tsv", "\t", True, splits)
+    cells = F.transform(
+        "fields",
+        lambda v, i: cell(i, F.coalesce(strip(F.get("head", i)), F.concat(F.lit("col_"), (i + 1).cast("string"))), strip(v)),
     )
+    context = F.array_join(F.filter("fields", lambda v: v != ""), " ")
+    return rows.select(*_row(F.col("_file"), F.col("_row"), present(cells), context))
 
 
 # --- text --------------------------------------------------------------------------

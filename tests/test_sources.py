@@ -60,12 +60,46 @@ def test_csv_record_with_too_many_fields_is_reported_and_read(spark, tmp_path):
 def test_csv_row_numbers_across_splits(spark, tmp_path, split_small):
     lines = [f"{i},name {i}" for i in range(2, 502)]
     write(tmp_path, "a.csv", "\n".join(["number,name", *lines]) + "\n")
-    rows = fs.csv_rows(spark, str(tmp_path), multiline=False, splits=10_000)
+    rows = fs.csv_rows(spark, str(tmp_path), splits=10_000)
     assert rows.rdd.getNumPartitions() > 1
     got = [(r["row"], r["cells"][0]["text"]) for r in rows.orderBy("row").collect()]
     assert got == [(i, str(i)) for i in range(2, 502)]
 
 
+def read_by_csv(text, separator):
+    import csv
+    import io
+
+    return list(csv.reader(io.StringIO(text, newline=""), delimiter=separator))
+
+
+@pytest.mark.parametrize("splits", [None, 10_000])
+def test_records_across_splits_equal_a_record_reader(spark, tmp_path, split_small, splits):
+    """Quoted line breaks, stray quotes, blank lines and wide records, in files cut every 200 bytes."""
+    import random
+
+    rng = random.Random(4)
+    parts = ["a", "long value", '"q, t"', '"two\nlines"', '"say ""x"""', 'stray " quote', "", " ", '"" after', '"a\n\n,b"']
+    text = "h1,h2\n" + "\n".join(",".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(400)) + "\n\n  \nend,1\n"
+    write(tmp_path, "a.csv", text)
+    write(tmp_path, "t.tsv", text.replace(",", "\t"))
+    want = [r for r in read_by_csv(text, ",") if r][1:]
+    rows = fs._delimited(spark, str(tmp_path), "csv", ",", False, splits).orderBy("_row").collect()
+    assert [(r["_row"], r["fields"]) for r in rows] == list(enumerate(want, 2))
+    want = [(i, r) for i, r in enumerate(read_by_csv(text.replace(",", "\t"), "\t"), 1) if r][1:]
+    rows = fs._delimited(spark, str(tmp_path), "tsv", "\t", True, splits).orderBy("_row").collect()
+    assert [(r["_row"], r["fields"]) for r in rows] == want
+
+
+def test_no_field_is_lost(spark, tmp_path):
+    write(tmp_path, "a.csv", 'a,b\n1,"x\ny","p\nq","r\ns",ABCPD1234E\n   \n2,XYZCA5678F\n')
+    write(tmp_path, "wide.csv", "a\n\"" + "," * 15_000 + "\"\nABCPD1234E\n")
+    got = cells_of(fs.csv_rows(spark, str(tmp_path)))
+    assert [g[:2] for g in got if g[2] == "ABCPD1234E"] == [(2, "(unnamed)"), (3, "a")]
+    assert (4, "b", "XYZCA5678F") in got  # the line of blanks is a record
+    assert (2, "a", "," * 15_000) in got
+
+
 def test_tsv(spark, tmp_path):
     write(tmp_path, "t.tsv", '\nname\tpan\nasha\tABCPD1234E\textra 1\n\n"q\tr"\tXYZCA5678F\n')
     assert cells_of(fs.tsv_rows(spark, str(tmp_path))) == [
