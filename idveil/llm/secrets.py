@@ -157,10 +157,11 @@ def _overlaps(spans: Column, start: Column, end: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (all of docs), base (start, rank, end, kind), candidates (start, end, value, test): one pass over the texts."""
+def candidates(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """row (the carried columns of docs, by default all), base (start, rank, end, kind), candidates (start, end, value, test): one pass over the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text.alias("text"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
+    rows = docs.select(carried.alias("row"), text.alias("text"))
     assign = F.filter(_found(F.col("text"), ASSIGN, 2), lambda s: F.length(s["value"]) >= 6)
     kinds = [("assign", assign), ("access", _found(F.col("text"), ACCESS)), ("hex", _found(F.col("text"), HEX))]
 
@@ -206,13 +207,13 @@ def discovery_limit(found: DataFrame, false_discoveries: float = FALSE_DISCOVERI
     return limit
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows as struct row, base and spans: arrays of (start, rank, end, kind), by start.
+def scan_secrets(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The carried columns (by default all) as struct row, base and spans: arrays of (start, rank, end, kind), by start.
 
     A span of the battery has the kind "random"; it never overlaps a base span. A null text is an empty one and
     has no spans. Repeated rows are scanned each; an empty table gives an empty result.
     """
-    found = written(candidates(docs, id_col, text_col))
+    found = written(candidates(docs, text_col, carry))
     limit = discovery_limit(found)
     passes = lambda t: (t["p"] >= UNIFORMITY_LEVEL) & (t["evidence"] >= limit)
     more = F.transform(
@@ -232,7 +233,8 @@ def _joined(spans: Column) -> Column:
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random: one row per input row."""
     count = lambda spans, kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-    return scan_secrets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text").select(
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return scan_secrets(rows, "text", ["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"),
         count("base", "assign").alias("n_assign"),
         count("base", "access").alias("n_access"),
@@ -243,7 +245,7 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with each span (overlapping ones as one) replaced by mark; all columns and rows stay."""
     text = F.col(f"row.{text_col}")
     # "at" is the end of what is copied or covered so far; a span that begins before it only extends the cover.
@@ -259,7 +261,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     cleaned = F.when(F.size("spans") == 0, text).otherwise(F.aggregate("spans", state, step, finish))
     columns = [cleaned.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return scan_secrets(docs, id_col, text_col).select(*columns)
+    return scan_secrets(docs, text_col).select(*columns)
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
