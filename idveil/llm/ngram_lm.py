@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 from idveil.llm.common import crc_remainder, table, written
 
 #: Tokens of the corpus per segment of the filter; its distinct bigrams are at most as many.
-SEGMENT_TOKENS = 16_000_000
+SEGMENT_TOKENS = 3_000_000
 #: Bits of the filter per inserted level, and probes per level: 2 % of absent bigrams are taken for present.
 BITS_PER_LEVEL, PROBES = 8, 5
 #: Filter bytes that a worker keeps in memory; beyond, it holds one segment at a time.
 RESIDENT_BYTES = 256_000_000
 #: Documents that are scored together.
-BLOCK_DOCS = 4000
+BLOCK_DOCS = 2000
 #: Distinct tokens or bigrams of a task that are counted in memory before they are passed on.
-PASS_ON = 1_000_000
+PASS_ON = 400_000
 #: Weight of the unigram in the smoothed probability, in counts.
 STRENGTH = 200.0
 
@@ -185,7 +185,7 @@ def bigram_filter(train: DataFrame, segments: int) -> DataFrame:
                 pairs = _bigrams(flat[:-1], flat[1:])
                 held.append(np.delete(pairs, starts[1:-1] - 1))  # not across documents
                 size += len(pairs)
-                if size > 4 * PASS_ON:
+                if size > 2 * PASS_ON:
                     yield passed_on()
                     held, size = [], 0
         if held:
