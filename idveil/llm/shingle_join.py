@@ -29,6 +29,8 @@ from idveil.llm.common import pair, table, written
 SPARE = 2
 #: Bits of a sketch per shingle, at least.
 BITS_PER_SHINGLE = 4
+#: Folds (halvings) of the sketches that are compared in blocks; about one bit per shingle is left.
+COARSE_FOLDS = 2
 #: Representatives of a bucket that are compared in one block.
 BLOCK = 512
 #: Representatives whose ids are broadcast at most (8 bytes each); more are joined by shuffle.
@@ -123,7 +125,7 @@ def piece_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n, digest (of the set), sketch (bits of the own band)."""
+    """doc_id, n, digest (of the set), sketch (bits of the own band), coarse (the sketch folded COARSE_FOLDS times)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, bands = Shingler(width), Bands(percent)
@@ -132,18 +134,21 @@ def _profiles(docs: DataFrame, percent: int, width: int) -> DataFrame:
             for doc_id, text in zip(f["doc_id"], f["text"]):
                 s = shingle(text)
                 sketch = np.packbits(_sketch(s, bands.shape(bands.of(len(s)))[0])).tobytes() if len(s) else b""
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch"])
+                coarse = _fold(sketch, max(64, len(sketch) * 8 >> COARSE_FOLDS)).tobytes() if sketch else b""
+                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch, coarse))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch", "coarse"])
 
-    return docs.mapInPandas(run, "doc_id long, n long, digest binary, sketch binary")
+    return docs.mapInPandas(run, "doc_id long, n long, digest binary, sketch binary, coarse binary")
 
 
 def _buckets(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """key, rep for the sketch pieces of each document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, bands = Shingler(width), Bands(percent)
+        shingle, bands, seen = Shingler(width), Bands(percent), set()
         for f in frames:
+            f = f[~f["doc_id"].duplicated() & ~f["doc_id"].isin(seen)]  # a repeated row once per task
+            seen.update(f["doc_id"])
             for at in range(0, len(f), 1000):
                 part = f[at : at + 1000]
                 keys = [piece_keys(s, bands) if len(s := shingle(t)) else s for t in part["text"]]
@@ -256,6 +261,11 @@ def _star_pairs(shared: DataFrame, profiles: DataFrame, percent: int) -> DataFra
         .select("key", (-F.col("m.minus")).alias("u"))
     )
     pairs = shared.join(hubs, "key").where("rep <> u").selectExpr("u", "rep AS v").distinct()
+    return _near_pairs(pairs, profiles, percent)
+
+
+def _near_pairs(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose whole sketches allow a link."""
     a = profiles.selectExpr("doc_id AS u", "n AS n_u", "sketch AS sketch_u")
     b = profiles.selectExpr("doc_id AS v", "n AS n_v", "sketch AS sketch_v")
 
@@ -278,7 +288,7 @@ def _open_pairs(shared: DataFrame, profiles: DataFrame, labels: DataFrame, perce
     size = F.count(F.lit(1)).alias("size")
     mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), size).where("a <> b")
     rows = rows.join(mixed.select("key", "size"), "key").join(
-        profiles.selectExpr("doc_id AS rep", "n", "sketch"), "rep"
+        profiles.selectExpr("doc_id AS rep", "n", "coarse AS sketch"), "rep"
     )
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -287,18 +297,46 @@ def _open_pairs(shared: DataFrame, profiles: DataFrame, labels: DataFrame, perce
     )
     rows = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("p", F.explode(others))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def compared(f: pd.DataFrame, bands: Bands) -> pd.DataFrame:
+        """Whole groups, many at once: groups of one size make their pairs together."""
+        group = f[["key", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))
+        sizes = np.diff(np.append(starts, len(f)))
         rep, part, own = f["rep"].to_numpy(), f["component"].to_numpy(), f["mine"].to_numpy()
-        left, right = np.triu_indices(len(f), 1)
-        i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
-        wanted = (part[left] != part[right]) & ((own[left] != own[right]) | (i == j))
-        left, right = left[wanted], right[wanted]
-        near = _near(Bands(percent), f["n"].to_numpy(), list(f["sketch"]), left, right)
-        u, v = rep[left[near]], rep[right[near]]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+        diagonal = (f["i"] == f["j"]).to_numpy()
+        u, v, a, b = [], [], [], []
+        for size in np.unique(sizes[sizes > 1]):
+            first, second = np.triu_indices(size, 1)
+            of_size = starts[sizes == size]
+            for some in np.array_split(of_size, max(1, len(of_size) * len(first) // 1_000_000)):
+                left, right = (some[:, None] + first).ravel(), (some[:, None] + second).ravel()
+                wanted = (part[left] != part[right]) & ((own[left] != own[right]) | diagonal[left])
+                left, right = left[wanted], right[wanted]
+                swap = rep[left] > rep[right]
+                left, right = np.where(swap, right, left), np.where(swap, left, right)
+                u.append(rep[left]), v.append(rep[right]), a.append(left), b.append(right)
+        if not u:
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        pairs = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "a": np.concatenate(a), "b": np.concatenate(b)})
+        pairs = pairs.drop_duplicates(["u", "v"])  # a pair may meet in several buckets
+        near = _near(bands, f["n"].to_numpy(), list(f["sketch"]), pairs["a"].to_numpy(), pairs["b"].to_numpy())
+        return pairs.loc[near, ["u", "v"]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands, held = Bands(percent), None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            # The last group may go on in the next batch; a group has 2 * BLOCK rows or so at most.
+            last = (f[["key", "i", "j"]] == f[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
+            held = f[last].reset_index(drop=True)
+            if not last.all():
+                yield compared(f[~last].reset_index(drop=True), bands)
+        if held is not None:
+            yield compared(held, bands)
 
     columns = rows.select("key", "p.i", "p.j", "rep", "component", "n", "sketch", "mine")
-    return columns.groupBy("key", "i", "j").applyInPandas(run, "u long, v long").distinct()
+    dealt = columns.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return _near_pairs(dealt.mapInPandas(run, "u long, v long").distinct(), profiles, percent)
 
 
 def near_duplicates(
@@ -319,11 +357,13 @@ def near_duplicates(
         profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     )
     reps = classes.select("rep")
-    # Only representatives are cut into pieces. Their texts are read again rather than kept.
-    chosen = rows.join(_few(reps), rows["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id"])
+    # Only representatives are cut into pieces. Their texts are read again rather than kept, and their pieces are
+    # made twice rather than written: they are larger than the texts.
+    chosen = rows.join(_few(reps), rows["doc_id"] == reps["rep"], "left_semi")
     buckets = _buckets(chosen, percent, width)
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(buckets.join(sizes, "key"))
+    different = F.min("rep") < F.max("rep")
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), different.alias("different"))
+    shared = written(buckets.join(sizes.where("different").select("key", "size"), "key").distinct())
 
     links = written(_verified(rows, written(_star_pairs(shared, profiles, percent)), percent, width))
     labels = components(links)
@@ -334,7 +374,7 @@ def near_duplicates(
     known = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("digest", "rep", F.coalesce("component", "rep").alias("component"))
     linked = F.col("rep").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return profiles.drop("sketch").join(known, "digest", "left").select(
+    return profiles.select("doc_id", "n", "digest").join(known, "digest", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
