@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 
 from idveil.llm import secrets as s
 
@@ -69,6 +70,38 @@ def test_battery_tells_random_from_ordinary(spark):
     assert sum(x > 0 for x in false) <= 0.01 * len(false)
 
 
+def rare(rng, each=40, ordinary=100):
+    """Texts with random tokens of several encodings, one in so many ordinary identifiers: (encoding, length), texts."""
+    small, capital, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = {"HEX": digits + "ABCDEF", "base32": capital + "234567", "base36": digits + small, "BASE36": digits + capital, "base62": small + capital + digits}
+    kinds = [(name, n) for name in alphabets for n in (32, 64)]
+    tokens = [(kind, "".join(rng.choices(alphabets[kind[0]], k=kind[1]))) for kind in kinds for _ in range(each)]
+    plain = [t for _ in range(ordinary * len(tokens) // 400) for t in planted(rng)[1]]
+    return [k for k, _ in tokens] + [None] * len(plain), [f"before {t} after" for t in [t for _, t in tokens] + plain]
+
+
+def recall(spark, each=40):
+    kinds, texts = rare(random.Random(3), each)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_random"] > 0 for r in s.secret_report(df).collect()}
+    hits = {k: [got[i] for i, x in enumerate(kinds) if x == k] for k in dict.fromkeys(kinds)}
+    return {k: sum(v) / len(v) for k, v in hits.items()}
+
+
+def test_rare_secrets_of_one_case_are_found(spark):
+    got = recall(spark, 20)
+    assert got.pop(None) <= 0.0001
+    assert min(got[k, 64] for k in ("base32", "base36", "BASE36", "base62")) >= 0.9, got
+    assert got["HEX", 64] >= 0.5 and got["base62", 32] >= 0.9, got
+    assert min(got[k, 32] for k in ("base32", "base36", "BASE36")) >= 0.3, got
+
+
+def test_long_random_token_is_found(spark):
+    long_ = base64.b64encode(random.Random(4).randbytes(6000)).decode()
+    df = spark.createDataFrame([(1, f"before {long_} after")], "doc_id long, text string")
+    assert s.secret_report(df).head()["n_random"] == 1
+
+
 def test_redaction(spark, awkward):
     df = spark.createDataFrame([(i, t, "other") for i, t in ODD.items()], "doc_id long, text string, row string")
     for r in s.redact_secrets(df, mark="#").collect():
