@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from idveil.llm import exact_dedup, line_dedup, ngram_lm, packing, pieces, quality_rules, secrets, shingle_join, toxicity, warc
+from idveil.llm import (
+    exact_dedup,
+    language_id,
+    line_dedup,
+    ngram_lm,
+    packing,
+    pieces,
+    prefix_trie,
+    quality_rules,
+    secrets,
+    shingle_join,
+    spelling,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_language_id": language_id.op12_language_id,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 SQL = {
