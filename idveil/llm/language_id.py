@@ -182,7 +182,7 @@ def calibrate(model: Languages, bags: list[tuple[np.ndarray, np.ndarray]], label
 
 
 def labelled_bags(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> pd.DataFrame:
-    """lang, buckets, shares of a sample of docs (key, lang, text): about max_docs rows, alike for every language.
+    """lang, buckets, shares (as bytes) of a sample of docs (key, lang, text): about max_docs rows, alike for every language.
 
     Whether a row is in the sample depends on its key and its language's number of rows only. Rows that repeat a key
     count once. The number of distinct buckets bounds a row, however long its text.
@@ -202,11 +202,16 @@ def labelled_bags(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> pd.Data
                 part = f[at : at + 200]
                 bags = [bag(t) for t in part["text"]]
                 yield pd.DataFrame(
-                    {"key": part["key"], "lang": part["lang"], "buckets": [b for b, _ in bags], "shares": [s for _, s in bags]}
+                    {
+                        "key": part["key"],
+                        "lang": part["lang"],
+                        "buckets": [b.astype("<i4").tobytes() for b, _ in bags],
+                        "shares": [s.astype("<f4").tobytes() for _, s in bags],
+                    }
                 )
 
     one = chosen.dropDuplicates(["key"]).select("key", "lang", "text")
-    rows = one.mapInPandas(run, "key long, lang string, buckets array<int>, shares array<float>").toPandas()
+    rows = one.mapInPandas(run, "key long, lang string, buckets binary, shares binary").toPandas()
     rows = rows.sort_values(["key"], ignore_index=True)
     rows["calibrates"] = rows["key"] % CALIBRATION == 0
     return rows
@@ -229,7 +234,7 @@ def learn(
         return None
     names = sorted(sample["lang"].unique())
     labels = sample["lang"].map({x: i for i, x in enumerate(names)}).to_numpy()
-    bags = [(np.array(b, np.int64), np.array(s, np.float32)) for b, s in zip(sample["buckets"], sample["shares"])]
+    bags = [(np.frombuffer(b, "<i4"), np.frombuffer(s, "<f4")) for b, s in zip(sample["buckets"], sample["shares"])]
     held = sample["calibrates"].to_numpy()
     if len(set(labels[~held])) < len(names):  # too few to spare any
         held = np.zeros(len(bags), bool)
