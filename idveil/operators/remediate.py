@@ -1,26 +1,37 @@
 """Remediation: rewrite text with identifiers masked, redacted or tokenised.
 
-A narrow projection: no shuffle, no dependence on a scan. Detection runs on the text
-as it stands (no normalisation, no context).
+A narrow projection: no shuffle, no dependence on a scan. By default every occurrence of every value goes that a scan
+would find, in any form: the text is normalised and split as in a scan, and what is found there is located in the
+text as it stands, across separators, and through a map from normalised to original characters. The historic rule
+(``occurrences="first"``) looks at the text as it stands and replaces one occurrence of a value, in its recognised form.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from idveil import constants as k
 from idveil.functions import recognizers as r
-from idveil.functions.columns import as_col, let, strip
-from idveil.functions.text import has_shape, is_candidate
+from idveil.functions.columns import as_col, is_ascii, let, strip
+from idveil.functions.text import (
+    has_shape,
+    is_candidate,
+    may_hold_identifier,
+    normalise_excel_number,
+    normalise_unicode,
+    split_multi_value,
+)
 from idveil.functions.tokens import TOKEN_CHARS, tokenize
 from idveil.sources.tables import INERT, text_of
 
 MODES = ("mask", "redact", "tokenize")
+OCCURRENCES = ("all", "first")
 # In this order of precedence where two identifiers cover the same characters.
 _FINDERS = (
     ("AADHAAR", "aadhaar", lambda t, u: r.find_aadhaar(t)),
@@ -92,6 +103,140 @@ def _rewrite(text: Column, spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, finish)
 
 
+# --- every occurrence ----------------------------------------------------------------------
+_VALUE = "array<struct<finder:int,key:string,pattern:string,text:string>>"
+_SPACES = rf"[{k.WS}]*+"
+_GAP = rf"[{k.WS}\-–—./_|()]*+"
+_NUMBER = (rf"(?<!{k.DIGIT})", rf"(?!{k.DIGIT})")
+_WORD = (r"(?<![A-Z0-9])", r"(?![A-Z0-9])")
+# Between the characters of a value, and around it, wherever it occurs.
+_GAPS = {"AADHAAR": _GAP, "IN_MOBILE": _GAP, "PAN": _SPACES}
+_EDGES = {
+    "AADHAAR": _NUMBER,
+    "BANK_ACCOUNT": _NUMBER,
+    "IN_MOBILE": (rf"(?<!{k.DIGIT})(?:\+?91|0)?", rf"(?!{k.DIGIT})"),
+    "PAN": (k.WORD_START, k.WORD_END),
+    "GSTIN": (k.WORD_START, k.WORD_END),
+}
+
+
+def _values(text: Column, finders: list[tuple], replace) -> Column:
+    """What a scan finds in a text and its parts: key, pattern of its occurrences, replacement; by precedence."""
+    none = F.array().cast(_VALUE)
+
+    def value(i: int, entity: str, match: Column) -> Column:
+        raw = match["raw_value"]
+        key = F.substring(raw, -10, 10) if entity == "IN_MOBILE" else raw
+        before, after = _EDGES.get(entity, _WORD)
+        body = F.array_join(F.split(key, ""), _GAPS[entity]) if entity in _GAPS else key
+        return F.struct(
+            F.lit(i).alias("finder"),
+            key.alias("key"),
+            F.concat(F.lit(before), body, F.lit(after)).alias("pattern"),
+            replace(entity, match).alias("text"),
+        )
+
+    def of(forms: Column) -> Column:
+        chunk, upper = forms["text"], forms["upper"]
+        found = []
+        for i, (entity, shape, find) in enumerate(finders):
+            values = F.transform(find(chunk, upper), partial(value, i, entity)).cast(_VALUE)
+            found.append(F.when(has_shape(chunk, upper, shape), values).otherwise(none))
+        return F.concat(none, *found)
+
+    def of_candidate(chunk: Column) -> Column:
+        forms = F.struct(chunk.alias("text"), F.upper(chunk).alias("upper"))
+        return F.when(is_candidate(chunk), let(forms, of)).otherwise(none)
+
+    chunks = split_multi_value(normalise_excel_number(text))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(chunks, of_candidate))))
+
+
+def _replacing(values: Column, hit: Column) -> Column:
+    """The replacement of an occurrence: that of the first value by precedence that it spells."""
+    plain = F.upper(F.regexp_replace(hit, rf"[{k.WS}\-–—./_|()+]+", ""))
+
+    def chosen(spelt: Column) -> Column:
+        same = lambda v: (v["key"] == spelt) | (v["key"] == F.substring(spelt, -10, 10))
+        return F.get(F.filter(values, same), F.lit(0))["text"]
+
+    return let(plain, chosen)
+
+
+def _put_in(text: Column, cut: Column, values: Column) -> Column:
+    """ASCII text, cut into pieces and the hits between them, with the hits replaced."""
+    parts = F.zip_with(
+        cut["pieces"], cut["hits"], lambda p, h: F.concat(p, F.coalesce(F.when(h.isNotNull(), _replacing(values, h)), F.lit("")))
+    )
+    return F.array_join(parts, "")
+
+
+def _put_back(text: Column, at: Column, cut: Column, values: Column) -> Column:
+    """The same for a text whose normalised form was cut; *at* holds the place in the text of each normalised character."""
+    start = F.struct(F.lit(0).alias("seen"), F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
+
+    def step(done: Column, part: Column) -> Column:
+        first = done["seen"] + F.length(part["pieces"])
+        last = first + F.length(part["hits"]) - 1
+        begin = F.get(at, first)
+        put = F.struct(
+            (last + 1).alias("seen"),
+            (F.get(at, last) + 1).alias("next"),
+            F.concat(
+                done["out"],
+                F.array(F.substring(text, done["next"], begin - done["next"]), _replacing(values, part["hits"])),
+            ).alias("out"),
+        )
+        return F.when(part["hits"].isNotNull(), put).otherwise(done)
+
+    def finish(done: Column) -> Column:
+        return F.concat(F.array_join(done["out"], ""), F.substring(text, done["next"], F.length(text)))
+
+    return F.aggregate(F.arrays_zip(cut["pieces"].alias("pieces"), cut["hits"].alias("hits")), start, step, finish)
+
+
+def _without_any(text: Column, finders: list[tuple], replace) -> Column:
+    """The text with every occurrence of every value found in it replaced."""
+
+    def located(form: Column, values: Column, put) -> Column:
+        # Of values that begin at one place the longest is taken.
+        longest = F.sort_array(F.transform(values, lambda v: F.struct((-F.length(v["key"])).alias("minus"), v["pattern"].alias("pattern"))))
+        pattern = F.concat(F.lit("(?iu)"), F.array_join(F.transform(longest, lambda v: v["pattern"]), "|"))
+
+        def cut(p: Column) -> Column:
+            return F.struct(
+                F.split(form, p, -1).alias("pieces"), F.regexp_extract_all(form, p, F.lit(0)).alias("hits")
+            )
+
+        return let(let(pattern, cut), put)
+
+    def plain(form: Column) -> Column:
+        found = _values(form, finders, replace)
+        return let(
+            found,
+            lambda v: F.when(F.size(v) == 0, form).otherwise(located(form, v, lambda cut: _put_in(form, cut, v))),
+        )
+
+    places = lambda cs: F.flatten(F.transform(cs, lambda c, i: F.array_repeat(i + 1, F.length(c))))
+
+    def mapped(values: Column) -> Column:
+        # Normalised character by character, so that each character of the result has a place in the text.
+        forms = let(
+            F.transform(F.split(text, ""), normalise_unicode),
+            lambda cs: F.struct(F.array_join(cs, "").alias("norm"), places(cs).alias("at")),
+        )
+        return let(
+            forms, lambda f: located(f["norm"], values, lambda cut: _put_back(text, f["at"], cut, values))
+        )
+
+    def other(norm: Column) -> Column:
+        found = F.when(is_candidate(norm), _values(norm, finders, replace)).otherwise(F.array().cast(_VALUE))
+        return let(found, lambda v: F.when(F.size(v) == 0, text).otherwise(mapped(v)))
+
+    done = F.when(is_ascii(text), let(text, plain)).otherwise(let(normalise_unicode(text), other))
+    return F.when(may_hold_identifier(text), done).otherwise(text)
+
+
 def sanitize(
     text: Column | str,
     mode: str = "mask",
@@ -99,15 +244,19 @@ def sanitize(
     mask_token: str | None = None,
     entities: Iterable[str] | None = None,
     token_chars: int = TOKEN_CHARS,
+    occurrences: str = "all",
 ) -> Column:
     """Text with the identifiers in it replaced.
 
     ``mask`` keeps the last characters, ``redact`` names the entity, ``tokenize`` puts
-    a keyed token; ``mask_token`` is one fixed text for all. The first occurrence of
-    each value is replaced, in the form it was recognised in.
+    a keyed token; ``mask_token`` is one fixed text for all. Every occurrence of each value is replaced, spaced
+    and separated ones too; a null text stays null. With ``occurrences="first"`` only the first one is, in the form it was
+    recognised in.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+    if occurrences not in OCCURRENCES:
+        raise ValueError(f"occurrences must be one of {OCCURRENCES}, not {occurrences!r}")
     if mode == "tokenize" and not mask_token and not salt:
         raise ValueError("tokens need a secret salt")
     text = as_col(text)
@@ -119,6 +268,9 @@ def sanitize(
     def replace(entity: str, match: Column) -> Column:
         return _replacement(entity, match, mode, mask_token, salt, token_chars)
 
+    if occurrences == "all":
+        return _without_any(text, finders, replace)
+
     def rewritten(forms: Column) -> Column:
         raw, upper = forms["text"], forms["upper"]
         none = F.array().cast(_SPAN)
@@ -145,6 +297,7 @@ class _How:
     mask_token: str | None = None
     entities: tuple[str, ...] | None = None
     token_chars: int = TOKEN_CHARS
+    occurrences: str = "all"
 
 
 def _how(mode: str, options: dict) -> _How:
@@ -159,7 +312,7 @@ def _sanitize_all(session: SparkSession, how: _How) -> Column:
 
     def clean(text: Column) -> Column:
         done = sanitize(
-            text, how.mode, how.salt, how.mask_token, how.entities, how.token_chars
+            text, how.mode, how.salt, how.mask_token, how.entities, how.token_chars, how.occurrences
         )
         return F.when(strip(text) == "", text).otherwise(done)
 
@@ -247,6 +400,7 @@ def correlate(
 
 __all__ = [
     "MODES",
+    "OCCURRENCES",
     "changed_cells",
     "correlate",
     "remediate",

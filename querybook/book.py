@@ -922,11 +922,11 @@ def _token_sql(entity: str, value: str, chars: int = 8) -> str:
     return f"concat('TOK-{entity}-', upper(left({_hmac_sql(value)}, {chars})))"
 
 
-def _sanitized(spark, sf, mode: str) -> DataFrame:
+def _sanitized(spark, sf, mode: str, **options) -> DataFrame:
     df = people(spark, sf).select(
         "id", *_CLEAN_COLUMNS[:-1], F.concat(F.lit("tel "), "mobile", F.lit(", "), "segment").alias("note")
     )
-    return iv.remediate(df, mode, columns=_CLEAN_COLUMNS, salt=SALT, token_chars=8)
+    return iv.remediate(df, mode, columns=_CLEAN_COLUMNS, salt=SALT, **options)
 
 
 @query("sanitize_mask", with_people(_sanitized_sql(True, lambda e, v, m: m)))
@@ -941,9 +941,51 @@ def _(spark, sf):
 
 @query("sanitize_tokenize", with_people(_sanitized_sql(False, lambda e, v, m: _token_sql(e, v))))
 def _(spark, sf):
+    return _sanitized(spark, sf, "tokenize", token_chars=8)
+
+
+@query("sanitize_tokenize_whole", with_people(_sanitized_sql(False, lambda e, v, m: _token_sql(e, v, 64))))
+def _(spark, sf):
+    """Tokens with the whole digest, the default."""
     return _sanitized(spark, sf, "tokenize")
 
 
+@query("sanitize_first", with_people(_sanitized_sql(False, lambda e, v, m: f"'[REDACTED_{e}]'")))
+def _(spark, sf):
+    """The historic rule: on columns of one value each it gives the same."""
+    return _sanitized(spark, sf, "redact", occurrences="first")
+
+
+# An Aadhaar number that reads as a phone number, or repeats a digit, is an account number where it is written in one.
+_AS_ACCOUNT = f"regexp_matches(aadhaar_no, '^91[6-9]|{d.REPEATED}')"
+
+
+@query(
+    "sanitize_all_occurrences",
+    with_people(
+        f"""
+select id, concat(
+  'PAN ', case when substr(pan_no, 4, 1) in ('Z', 'Q') then concat(pan_no, ' and again ', lower(pan_no))
+               else '[REDACTED_PAN] and again [REDACTED_PAN]' end,
+  '; uid ', case when {_AS_ACCOUNT}
+                 then concat(substr(aadhaar_no, 1, 4), ' ', substr(aadhaar_no, 5, 4), '-', substr(aadhaar_no, 9, 4), ' or [REDACTED_BANK_ACCOUNT]')
+                 else '[REDACTED_AADHAAR] or [REDACTED_AADHAAR]' end,
+  '; tel +91 [REDACTED_IN_MOBILE] or [REDACTED_IN_MOBILE]; epic [REDACTED_VOTER_ID] and [REDACTED_VOTER_ID]') as text
+from people"""
+    ),
+)
+def _(spark, sf):
+    """Each value twice, once in another form: spaced, hyphenated, in small letters."""
+    mobile, uid = F.col("mobile"), F.col("aadhaar_no")
+    text = F.concat(
+        F.lit("PAN "), "pan_no", F.lit(" and again "), F.lower("pan_no"),
+        F.lit("; uid "), uid.substr(1, 4), F.lit(" "), uid.substr(5, 4), F.lit("-"), uid.substr(9, 4), F.lit(" or "), uid,
+        F.lit("; tel +91 "), mobile, F.lit(" or "), mobile.substr(1, 5), F.lit("-"), mobile.substr(6, 5),
+        F.lit("; epic "), "voter_id", F.lit(" and "), F.lower("voter_id"),
+    )
+    return people(spark, sf).select("id", iv.sanitize(text, "redact").alias("text"))
+
+
 @query(
     "sanitize_overlap",
     with_people(
@@ -959,13 +1001,47 @@ def _(spark, sf):
     return persons.select("id", iv.sanitize(text, mask_token="[X]").alias("text"))
 
 
-@query("remediate_documents")
+@query(
+    "remediate_documents",
+    f"""
+with {d.findings_sql(d.DOCUMENT_CELLS, masked=False)},
+{d.without_values_sql()}
+select doc_id, clean is distinct from text as changed, md5(clean) as text_md5 from cleaned
+""",
+)
 def _(spark, sf):
     """Whole documents sanitised, with a flag for the changed ones."""
     out = remediate_cells(spread(table(spark, sf, "documents")), "redact")
     return out.select("doc_id", "changed", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "remediate_sheet",
+    with_people(
+        """
+select source as file, 'Sheet1' as sheet, id as "row", 1 as col_num, concat('XXXXXX', right(mobile, 4)) as text, true as changed from people
+union all select source, 'Sheet1', id, 2, concat(left(gstin, 2), 'XXXXXXXXXX', right(gstin, 3)), true from people
+union all select source, 'Sheet1', id, 3, segment, false from people
+union all select source, 'Sheet1', id, 4, null, false from people
+union all select source, 'Sheet1', id, 5, cast(id as varchar), false from people"""
+    ),
+)
+def _(spark, sf):
+    """Cells of a sheet as a long table: numbers read as floats, an empty cell, and cells without identifiers."""
+    cells = F.array(
+        *[
+            F.struct(F.lit(n).alias("col_num"), value.alias("text"))
+            for n, value in enumerate(
+                [F.col("mobile"), F.col("gstin"), F.col("segment"), F.lit(None).cast("string"), F.col("id").cast("string")], 1
+            )
+        ]
+    )
+    long = people(spark, sf).select(
+        F.col("source").alias("file"), F.lit("Sheet1").alias("sheet"), F.col("id").alias("row"), F.inline_outer(cells)
+    )
+    return remediate_cells(long)
+
+
 @query(
     "changed_cells",
     with_people(

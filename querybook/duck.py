@@ -307,3 +307,43 @@ findings as (
   where n = 1
 )
 """
+
+
+def without_values_sql(documents: str = "documents") -> str:
+    """CTEs ``cleaned(doc_id, text, clean)``: documents with all occurrences of the values ``found`` in them redacted.
+
+    One value after another, the longest first, each replaced twice as a match takes the characters around it along.
+    """
+    gap = r"[\s\-\x{2013}\x{2014}./_|()]*"
+    spaced = "array_to_string(string_split(key, ''), '{}')"
+    rank = " ".join(
+        f"when '{e}' then {i}"
+        for i, e in enumerate(("AADHAAR", "PAN", "GSTIN", "IN_MOBILE", "VOTER_ID", "PASSPORT", "BANK_ACCOUNT", "IFSC"))
+    )
+    return rf"""
+spelt as (
+  select r as doc_id, entity, case entity {rank} end as rank, upper(case when entity = 'IN_MOBILE' then right(raw, 10) else raw end) as key
+  from found join chunks using (cid)
+),
+valued as (
+  select doc_id, key, arg_min(entity, rank) as entity from spelt group by all
+),
+patterned as (
+  select doc_id, key, concat('[REDACTED_', entity, ']') as mark, case
+      when entity = 'AADHAAR' then concat('(?i)(^|[^0-9])', {spaced.format(gap)}, '($|[^0-9])')
+      when entity = 'IN_MOBILE' then concat('(?i)(^|[^0-9])(?:[+]?91|0)?', {spaced.format(gap)}, '($|[^0-9])')
+      when entity = 'BANK_ACCOUNT' then concat('(?i)(^|[^0-9])', key, '($|[^0-9])')
+      when entity = 'PAN' then concat('(?i)(^|[^A-Z0-9_])', {spaced.format(chr(92) + "s*")}, '($|[^A-Z0-9_])')
+      when entity = 'GSTIN' then concat('(?i)(^|[^A-Z0-9_])', key, '($|[^A-Z0-9_])')
+      else concat('(?i)(^|[^A-Z0-9])', key, '($|[^A-Z0-9])') end as pattern
+  from valued
+),
+listed as (
+  select doc_id, list(concat(pattern, chr(1), mark) order by length(key) desc, key) as steps from patterned group by 1
+),
+cleaned as (
+  select doc_id, text, case when steps is null then text else list_reduce(steps, lambda t, x: regexp_replace(
+      regexp_replace(t, split_part(x, chr(1), 1), concat('\1', split_part(x, chr(1), 2), '\2'), 'g'),
+      split_part(x, chr(1), 1), concat('\1', split_part(x, chr(1), 2), '\2'), 'g'), text) end as clean
+  from {documents} left join listed using (doc_id)
+)"""

@@ -1,11 +1,13 @@
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import idveil as iv
+from idveil.functions.text import normalise_cell
 from idveil.operators.remediate import remediate_cells, remediate_documents
 
 from test_scan import CONTACTS
@@ -31,7 +33,10 @@ def token(entity, value, salt="known here only"):
 
 
 def test_golden_masks(contacts):
-    assert [tuple(r) for r in iv.remediate(contacts).collect()] == MASKED
+    assert [tuple(r) for r in iv.remediate(contacts, occurrences="first").collect()] == MASKED
+    # Every form of a value goes otherwise, dotted numbers too.
+    dotted = [tuple("XXXX XXXX 2341" if v == "4567.8901.2341" else v for v in row) for row in MASKED]
+    assert [tuple(r) for r in iv.remediate(contacts).collect()] == dotted
 
 
 def test_redact_and_tokenize(evaluate):
@@ -52,7 +57,7 @@ def test_overlaps_and_repeats(evaluate):
         "2345 6789 0124",  # found, but not written that way
         "straße 9876543210 ß",
     ]
-    assert evaluate(iv.sanitize, texts) == [
+    assert evaluate(lambda t: iv.sanitize(t, occurrences="first"), texts) == [
         "XXXX XXXX 0124 then XXXXXXX8901 and XXXXXX3210",
         "XXXXX1234X ABCPD1234E",
         "27XXXXXXXXXX1ZV HDFC0XXXXXX ZDBXXXX567 AXXXX567",
@@ -69,10 +74,11 @@ def test_unknown_mode(spark):
 
 
 def test_changed_cells(spark, contacts):
-    counts = {r["column"]: r["changed"] for r in iv.changed_cells(contacts).collect()}
-    assert counts == {"name": 0, "mobile": 6, "aadhaar_no": 4, "pan_no": 5}
+    counts = lambda **how: {r["column"]: r["changed"] for r in iv.changed_cells(contacts, **how).collect()}
+    assert counts(occurrences="first") == {"name": 0, "mobile": 6, "aadhaar_no": 4, "pan_no": 5}
+    assert counts() == {"name": 0, "mobile": 6, "aadhaar_no": 5, "pan_no": 5}
     seen = Observation("remediation")
-    out = iv.remediate(contacts, observation=seen)
+    out = iv.remediate(contacts, observation=seen, occurrences="first")
     assert [tuple(r) for r in out.collect()] == MASKED
     assert seen.get["changed_cells"] == 15
 
@@ -109,3 +115,74 @@ def test_tokens_need_a_salt():
         iv.sanitize("t", "tokenize")
     with pytest.raises(ValueError):
         iv.tokenize("t", "PAN", "")
+
+
+def test_every_occurrence_in_any_form(evaluate):
+    texts = [
+        "PAN ABCPD1234E and again ABCPD1234E, 2345 6789 0124",
+        "abcpd 1234 e; ABCPD1234E",
+        "tel +91 98765-43210 or 9876543210 or 98765.43210",
+        "Rs 500, 9876543210|2345-6789-0124",  # what a scan finds in a part of the text
+        "9876543210.0",
+        "a 919876543210 b",
+    ]
+    assert evaluate(lambda t: iv.sanitize(t, "redact"), texts) == [
+        "PAN [REDACTED_PAN] and again [REDACTED_PAN], [REDACTED_AADHAAR]",
+        "[REDACTED_PAN]; [REDACTED_PAN]",
+        "tel +91 [REDACTED_IN_MOBILE] or [REDACTED_IN_MOBILE] or [REDACTED_IN_MOBILE]",
+        "Rs 500, [REDACTED_IN_MOBILE]|[REDACTED_AADHAAR]",
+        "[REDACTED_IN_MOBILE].0",
+        "a [REDACTED_IN_MOBILE] b",
+    ]
+
+
+def test_normalised_characters_keep_their_places(evaluate):
+    texts = [
+        "ﬂat ９８７６５ ４３２１０ é",  # a ligature becomes two letters before the number
+        "​98​765​43210​ x½",
+        "२३४५ ६७८९ ०१२४ और ABCPD 1234 E",
+        "😀 ＡＢＣＰＤ1234Ｅ 😀 abcpd1234e",
+        "é 12 é",
+    ]
+    assert evaluate(lambda t: iv.sanitize(t, mask_token="#"), texts) == [
+        "ﬂat # é",
+        "​#​ x½",
+        "# और #",
+        "😀 # 😀 #",
+        "é 12 é",
+    ]
+
+
+def test_nothing_found_before_is_found_after(spark):
+    """Values in random forms, order and company: no value a scan finds in a text is in what remediation leaves."""
+    rng = random.Random(11)
+    values = ["234567890124", "ABCPD1234E", "27AAPFU0939F1ZV", "9876543210", "ZDB1234567", "A1234567", "12345678901", "HDFC0001234"]
+    gaps = ["", "", " ", "-", ".", "/", " "]
+
+    def form(v):
+        at = rng.randint(1, len(v) - 1)
+        v = v[:at] + rng.choice(gaps) + v[at:]
+        v = rng.choice([v, v.lower(), v.translate({48 + d: 0xFF10 + d for d in range(10)})])
+        return rng.choice(["", "+91", "91", "0", "(", "x"]) + v
+
+    texts = ["".join(form(rng.choice(values)) + rng.choice([" ", ", ", "; ", " and ", "|", " Rs "]) for _ in range(rng.randint(1, 8))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    clean = df.select("i", iv.sanitize("t", mask_token="~").alias("t"))
+
+    def found(rows):
+        chunks = rows.select("i", F.explode(normalise_cell("t")).alias("c"))
+        kinds = [iv.find_aadhaar, iv.find_pan, iv.find_gstin, iv.find_mobile, iv.find_voter_id, iv.find_passport, iv.find_bank_account, iv.find_ifsc]
+        each = chunks.select("i", F.explode(F.concat(*[F.transform(f("c"), lambda m: m["raw_value"]) for f in kinds])).alias("v"))
+        return {(r["i"], r["v"]) for r in each.collect()}
+
+    before, after = found(df), found(clean)
+    # Numbers that run together across separators are no value of their own any more once their parts are gone.
+    assert len(before) > 1500
+    assert not {(i, v) for i, v in before & after if v in values}
+    assert len(before & after) < 0.01 * len(before)
+
+
+def test_long_text_of_many_values(evaluate):
+    text = " ".join(f"ABCPD{n:04d}E" for n in range(1000))
+    (clean,) = evaluate(lambda t: iv.sanitize(t, mask_token="#"), [text + " " + text.lower()])
+    assert clean == " ".join(["#"] * 2000)
