@@ -10,7 +10,7 @@ from idveil.constants import TEXT_SUFFIXES
 from idveil.plans.scan import ScanOptions, scan_rows
 from idveil.sources import files as f
 from idveil.sources.catalog import catalog_tables, database_rows
-from idveil.sources.tables import cell_rows, row_context
+from idveil.sources.tables import cell_rows
 
 _COLUMNS = ("file", "sheet", "sheet_ord", "row", "cells", "row_context")
 
@@ -34,7 +34,7 @@ def path_rows(
         "text": lambda: f.text_rows(spark, path, splits=found.bound(*TEXT_SUFFIXES)),
         "json": lambda: f.json_rows(spark, path),
         "jsonl": lambda: f.jsonl_rows(spark, path, found.bound("jsonl")),
-        "parquet": lambda: _with_context(f.parquet_rows(spark, path, only_candidates)),
+        "parquet": lambda: f.parquet_rows(spark, path, only_candidates),
     }
     suffixes = {name: (TEXT_SUFFIXES if name == "text" else (name,)) for name in sources}
     chosen = [
@@ -47,10 +47,6 @@ def path_rows(
     return reduce(lambda a, b: a.unionByName(b), [c.select(*_COLUMNS) for c in chosen])
 
 
-def _with_context(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("row_context", row_context())
-
-
 def scan_path(
     spark: SparkSession,
     path: str,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from idveil.functions.columns import strip
 from idveil.sources.delimited import delimited_records
 from idveil.sources.json_cells import document_rows, line_rows
 from idveil.sources.numbering import numbered, split_offsets, tagged
-from idveil.sources.tables import UNNAMED, cell, error_cells, present, table_rows
+from idveil.sources.parquet_files import parquet_frames
+from idveil.sources.tables import UNNAMED, cell, error_cells, present, row_context, table_rows
 
 SMALL_TEXT_BYTES = 64 * 1024 * 1024
 LINES_PER_BLOCK = 100_000
@@ -275,13 +277,21 @@ def json_rows(spark: SparkSession, path: str) -> DataFrame:
 def parquet_rows(
     spark: SparkSession, path: str, only_candidates: bool = False
 ) -> DataFrame:
-    """Parquet files of one schema, or of mergeable ones; row is the position in the file."""
-    df = _reader(spark, "parquet").option("mergeSchema", True).parquet(path)
-    placed = df.select(
-        "*",
-        _plain(F.col("_metadata.file_path")).alias("_file"),
-        (F.col("_metadata.row_index") + 1).alias("_at"),
-    )
-    return table_rows(
-        placed, F.col("_file"), None, F.col("_at"), df.columns, only_candidates=only_candidates
-    )
+    """Parquet files, whatever their schemas; row is the position in the file.
+
+    A file that cannot be read is a ``FILE_READ_ERROR``; all others are read.
+    """
+    frames, failed = parquet_frames(spark, path)
+    parts = []
+    for df in frames:
+        placed = df.select(
+            "*",
+            _plain(F.col("_metadata.file_path")).alias("_file"),
+            (F.col("_metadata.row_index") + 1).alias("_at"),
+        )
+        rows = table_rows(placed, F.col("_file"), None, F.col("_at"), df.columns, only_candidates=only_candidates)
+        parts.append(rows.withColumn("row_context", row_context()))
+    if failed is not None:
+        message = error_cells("ParquetError: the file cannot be read")
+        parts.append(failed.select(*_row(F.col("address"), F.lit(1), message, F.lit(""))))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -266,3 +266,38 @@ def test_cell_mode_reads_every_format(spark, tmp_path):
     (tmp_path / "d.1699999999").write_text("ABCPD1234E\n")
     found = iv.scan_path(spark, str(tmp_path), options=iv.cell_mode())
     assert {r["file"].rsplit("/")[-1] for r in found.collect()} == {"a.txt", "b.jsonl", "c.csv"}
+
+
+def test_parquet_files_of_any_schema(spark, tmp_path):
+    """Types that cannot be merged, other columns, other orders, an empty file and a path with odd characters."""
+    parts = {
+        "a/ids.parquet": spark.createDataFrame([(1, "ABCPD1234E")], "id int, pan string"),
+        "b/ids.parquet": spark.createDataFrame([("9876543210", 7)], "id string, pan int"),
+        "c [1]/x y.PARQUET": spark.createDataFrame([(["XYZCA5678F"],)], "id array<string>"),
+        "c [1]/empty.parquet": spark.createDataFrame([], "id binary"),
+    }
+    for name, df in parts.items():
+        folder = tmp_path / "made" / name
+        df.coalesce(1).write.parquet(str(folder))
+        (one,) = folder.glob("part-*.parquet")
+        target = tmp_path / "in" / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(one.read_bytes())
+    found = iv.scan_path(spark, str(tmp_path / "in")).collect()
+    assert sorted((r["file"][-9:], r["row"], r["column"], r["entity_type"]) for r in found) == [
+        ("s.parquet", 1, "id", "IN_MOBILE"), ("s.parquet", 1, "pan", "PAN"), ("y.PARQUET", 1, "id", "PAN")]
+
+
+def test_unreadable_parquet_is_one_finding_and_the_rest_is_read(spark, tmp_path):
+    good = spark.createDataFrame([(i, f"ABCPD{i:04d}E") for i in range(20)], "id int, pan string")
+    good.repartition(2).write.parquet(str(tmp_path / "t"))
+    whole = next((tmp_path / "t").glob("part-*.parquet")).read_bytes()
+    write(tmp_path, "broken.parquet", "no parquet at all, PAN ABCPD9999E")
+    (tmp_path / "cut.parquet").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "zero.parquet").write_bytes(b"")
+    spark.createDataFrame([], "id int, pan string").coalesce(1).write.parquet(str(tmp_path / "none"))
+    found = iv.scan_path(spark, str(tmp_path)).collect()
+    errors = sorted(os.path.basename(r["file"]) for r in found if r["entity_type"] == "FILE_READ_ERROR")
+    # Spark itself passes over files without a byte.
+    assert [e for e in errors if e != "zero.parquet"] == ["broken.parquet", "cut.parquet"]
+    assert sum(r["entity_type"] == "PAN" for r in found) == 20
