@@ -25,15 +25,15 @@ def path_rows(
 
     Suffixes count whatever their case; files with other suffixes are passed over. A
     path that does not exist is an error. ``only_candidates`` leaves out Parquet rows
-    that cannot yield a finding before anything is built for them.
+    and JSON records that cannot yield a finding before anything is built for them.
     """
     found = f.list_path(spark, path)
     sources = {
         "csv": lambda: f.csv_rows(spark, path, splits=found.bound("csv")),
         "tsv": lambda: f.tsv_rows(spark, path, splits=found.bound("tsv")),
         "text": lambda: f.text_rows(spark, path, splits=found.bound(*TEXT_SUFFIXES)),
-        "json": lambda: f.json_rows(spark, path),
-        "jsonl": lambda: f.jsonl_rows(spark, path, found.bound("jsonl")),
+        "json": lambda: f.json_rows(spark, path, only_candidates),
+        "jsonl": lambda: f.jsonl_rows(spark, path, found.bound("jsonl"), only_candidates),
         "parquet": lambda: f.parquet_rows(spark, path, only_candidates),
     }
     suffixes = {name: (TEXT_SUFFIXES if name == "text" else (name,)) for name in sources}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from idveil.constants import TEXT_SUFFIXES
 from idveil.functions.columns import strip
+from idveil.functions.text import may_hold_identifier
 from idveil.sources.delimited import delimited_records
 from idveil.sources.json_cells import document_rows, line_rows
 from idveil.sources.numbering import numbered, split_offsets, tagged
@@ -235,33 +236,51 @@ def _json_rows(flat: DataFrame) -> list[Column]:
     )
 
 
+def may_hold_in_json(text: Column) -> Column:
+    """Test on JSON text that none fails whose values may hold an identifier.
+
+    A value stands in the text as it is, but for escapes (any backslash counts) and numbers with an exponent.
+    """
+    return text.contains("\\") | text.rlike(r"[0-9][eE][+\-]?[0-9]") | may_hold_identifier(text)
+
+
 def json_text_rows(
-    df: DataFrame, text: Column | str, file: Column | str, row: Column | str
+    df: DataFrame, text: Column | str, file: Column | str, row: Column | str, only_candidates: bool = False
 ) -> DataFrame:
-    """Rows from a column with one JSON value per record."""
+    """Rows from a column with one JSON value per record.
+
+    ``only_candidates`` leaves out records that cannot yield a finding, before they are parsed.
+    """
     source = df.select(
         (F.lit(file) if isinstance(file, str) else file).alias("_file"),
         (F.col(row) if isinstance(row, str) else row).alias("_row"),
         strip(text).alias("_text"),
     ).where(F.col("_text") != "")
+    if only_candidates:
+        source = source.where(may_hold_in_json(F.col("_text")))
     flat = source.select("_file", "_row", line_rows()(F.col("_text")).alias("_r"))
     return flat.select(*_json_rows(flat))
 
 
-def jsonl_rows(spark: SparkSession, path: str, splits: int | None = None) -> DataFrame:
+def jsonl_rows(
+    spark: SparkSession, path: str, splits: int | None = None, only_candidates: bool = False
+) -> DataFrame:
     """JSON lines: row number is the line number; a line that does not parse is ``raw_line``."""
     records = tagged(_reader(spark, "jsonl").text(path))
     rows = numbered(records, split_offsets(records), splits)
-    return json_text_rows(rows, F.col("value"), F.col("_file"), F.col("_row"))
+    return json_text_rows(rows, F.col("value"), F.col("_file"), F.col("_row"), only_candidates)
 
 
-def json_rows(spark: SparkSession, path: str) -> DataFrame:
+def json_rows(spark: SparkSession, path: str, only_candidates: bool = False) -> DataFrame:
     """JSON documents: a row per item of a list, or one row for an object.
 
     A document is one value and is parsed by one task; large data belongs in JSON lines.
-    A document that does not parse becomes a ``FILE_READ_ERROR``.
+    A document that does not parse becomes a ``FILE_READ_ERROR``. ``only_candidates`` leaves out, before they go to a
+    Python worker, documents that cannot yield a finding and that Spark's own parser accepts, so that all errors stay.
     """
     whole = _reader(spark, "json").text(path, wholetext=True)
+    if only_candidates:
+        whole = whole.where(may_hold_in_json(F.col("value")) | F.try_parse_json("value").isNull())
     parsed = whole.select(
         F.col("_metadata.file_path").alias("_file"), document_rows()(F.col("value")).alias("_d")
     )

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import idveil as iv
+from idveil.plans.scan import scan_rows
 from idveil.plans.sources import path_rows
 from idveil.sources import documents as docs
 from idveil.sources import files as fs
@@ -268,6 +269,34 @@ def test_cell_mode_reads_every_format(spark, tmp_path):
     assert {r["file"].rsplit("/")[-1] for r in found.collect()} == {"a.txt", "b.jsonl", "c.csv"}
 
 
+def test_json_candidate_test_loses_nothing(spark):
+    """Escapes, exponents, numbers, nesting: records with and without the test have the same findings."""
+    texts = [
+        r'{"a": "98765\n43210"}', r'{"a": "\u0039876543210"}', r'{"a": "98765\/43210"}', '{"a": 9.87654321e9}',
+        '{"a": 9876543210}', '{"a": {"b": [1, {"c": "ABCPD 1234 E"}]}}', '{"a": [["ABCPD1234E"]]}', "raw ABCPD1234E",
+        '{"a": "９８７６５４３２１０"}', '{"a": "plain"}', "[1, 2]", '"2345 6789 0124"', "not json", '{"a": 1, "a": "ABCPD1234E"}',
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    found = []
+    for only in (False, True):
+        rows = fs.json_text_rows(df, "t", "f", "i", only)
+        got = scan_rows(rows, dedup="cell").select("row", "column", "entity_type", "masked_value").collect()
+        found.append(sorted(tuple(r) for r in got))
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == 11
+    plan = fs.json_text_rows(df, "t", "f", "i", True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Filter")  # the test is below the parser
+
+
+def test_json_errors_stay(spark, tmp_path):
+    write(tmp_path, "a.json", "{broken")
+    write(tmp_path, "b.json", '[{"pan": "ABCPD1234E"}, {"x": "plain"}]')
+    write(tmp_path, "c.json", '{"x": "plain"}')
+    write(tmp_path, "d.jsonl", '{"x": "plain"}\n{broken PAN XYZCA5678F\n')
+    found = iv.scan_path(spark, str(tmp_path)).collect()
+    assert sorted((os.path.basename(r["file"]), r["row"], r["column"], r["entity_type"]) for r in found) == [
+        ("a.json", 1, "ERROR", "FILE_READ_ERROR"), ("b.json", 1, "pan", "PAN"), ("d.jsonl", 2, "raw_line", "PAN")]
+
+
 def test_parquet_files_of_any_schema(spark, tmp_path):
     """Types that cannot be merged, other columns, other orders, an empty file and a path with odd characters."""
     parts = {
