@@ -3,7 +3,8 @@
 Each document's set of word shingles is folded into a bit sketch: every shingle flips one bit, so the Hamming distance
 of two sketches never exceeds the size of the sets' symmetric difference. A similarity threshold bounds that
 difference by the sizes, so within a band of sizes two linked documents have sketches at most D bits apart: of
-D + 1 + SPARE pieces of the sketch, SPARE + 1 at least are equal. Documents meet in the buckets of equal pieces.
+D + 1 + S pieces of the sketch, S + 1 at least are equal. Each side leaves out its S pieces with the fewest bits, as equal
+pieces have equally many; documents meet in the buckets of equal pieces.
 
 Only distinct sets take part (copies are one representative). In each bucket the representative that shares most
 pieces with others is the hub; all others are compared with it, which is linear in the bucket. What the links found so
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 
 from idveil.llm.common import pair, table, written
 
-#: Pieces beyond D + 1. A piece with fewer than two bits says little; up to SPARE of them are left out of the buckets.
-SPARE = 2
-#: Bits of a sketch per shingle, at least.
-BITS_PER_SHINGLE = 4
+#: Pieces beyond D + 1, and more for each unit of D. As many may be left out of the buckets: light pieces say little.
+SPARE, SPARE_SHARE = 2, 0.08
+#: Bits of a sketch per shingle, at least: of those that are compared, and of those that are cut into pieces, where many
+#: bits make the pieces of different sets differ.
+BITS_PER_SHINGLE, KEY_BITS_PER_SHINGLE = 4, 32
 #: Folds (halvings) of the sketches that are compared in blocks; about one bit per shingle is left.
 COARSE_FOLDS = 2
 #: Representatives of a bucket that are compared in one block.
@@ -91,11 +93,15 @@ class Bands:
         """Largest symmetric difference of linked sets of these sizes."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def shape(self, band: int) -> tuple[int, int]:
-        """Bits and pieces where sets of this band and the next meet."""
-        a, b = self.first(band + 1) - 1, self.first(band + 2) - 1
-        bits = max(64, 1 << (BITS_PER_SHINGLE * b - 1).bit_length())
-        return bits, self.distance(a, b) + 1 + SPARE
+    def bits(self, band: int, per_shingle: int = BITS_PER_SHINGLE) -> int:
+        """Bits of the sketches of this band and the next."""
+        return max(64, 1 << (per_shingle * (self.first(band + 2) - 1) - 1).bit_length())
+
+    def shape(self, band: int) -> tuple[int, int, int]:
+        """Bits and pieces where sets of this band and the next meet, and how many pieces either may leave out."""
+        distance = self.distance(self.first(band + 1) - 1, self.first(band + 2) - 1)
+        spare = SPARE + int(SPARE_SHARE * distance)
+        return self.bits(band, KEY_BITS_PER_SHINGLE), distance + 1 + spare if distance else 0, spare
 
 
 def _sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -109,8 +115,8 @@ def piece_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     for join in (band - 1, band):
         if join < 0:
             continue
-        bits, pieces = bands.shape(join)
-        if pieces == 1 + SPARE:  # no two different sets of these sizes are near enough
+        bits, pieces, spare = bands.shape(join)
+        if not pieces:  # no two different sets of these sizes are near enough
             continue
         set_bits = np.flatnonzero(_sketch(shingles, bits)).astype(np.uint64)
         piece = (set_bits * np.uint64(pieces) // np.uint64(bits)).astype(np.int64)
@@ -118,44 +124,57 @@ def piece_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         key = np.zeros(pieces, np.uint64)
         np.bitwise_xor.at(key, piece, _mix(set_bits * _M1 + np.uint64(join)))
         key = _mix(key + _mix(np.arange(pieces, dtype=np.uint64) * _M2 + np.uint64(join)))
-        light = weight < 2
-        # At least SPARE + 1 pieces of linked sets are equal, so up to SPARE may be left out by either.
-        keys.append(key[~light] if light.sum() <= SPARE else key)
+        # At least spare + 1 pieces of linked sets are equal, in weight too. Either leaves out at most spare of them, all
+        # lighter than those it keeps; so an equal piece is left that has the weight which both keep.
+        keys.append(key[weight >= np.partition(weight, spare)[spare]])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
 def _profiles(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n, digest (of the set), sketch (bits of the own band), coarse (the sketch folded COARSE_FOLDS times)."""
+    """doc_id, n, digest (of the set), sketch (bits of the own band), coarse (the sketch folded COARSE_FOLDS times), keys (of
+    the buckets): the one pass over all texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, bands = Shingler(width), Bands(percent)
         for f in frames:
-            rows = []
-            for doc_id, text in zip(f["doc_id"], f["text"]):
-                s = shingle(text)
-                sketch = np.packbits(_sketch(s, bands.shape(bands.of(len(s)))[0])).tobytes() if len(s) else b""
-                coarse = _fold(sketch, max(64, len(sketch) * 8 >> COARSE_FOLDS)).tobytes() if sketch else b""
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch, coarse))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch", "coarse"])
+            for at in range(0, len(f), 1000):
+                rows = []
+                for doc_id, text in zip(f["doc_id"][at : at + 1000], f["text"][at : at + 1000]):
+                    s = shingle(text)
+                    sketch = np.packbits(_sketch(s, bands.bits(bands.of(len(s))))).tobytes() if len(s) else b""
+                    coarse = _fold(sketch, max(64, len(sketch) * 8 >> COARSE_FOLDS)).tobytes() if sketch else b""
+                    keys = piece_keys(s, bands).view(np.int64) if len(s) else np.zeros(0, np.int64)
+                    rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch, coarse, keys))
+                yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch", "coarse", "keys"])
+
+    return docs.mapInPandas(run, "doc_id long, n long, digest binary, sketch binary, coarse binary, keys array<long>")
 
-    return docs.mapInPandas(run, "doc_id long, n long, digest binary, sketch binary, coarse binary")
 
+def _shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows of keys (key, rep) whose key two different representatives have, once each.
 
-def _buckets(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """key, rep for the sketch pieces of each document."""
+    Keys are dealt out and sorted once and stream through; only a row and its neighbours are looked at.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, bands, seen = Shingler(width), Bands(percent), set()
+        held, held_kept = np.zeros((0, 2), np.int64), False
         for f in frames:
-            f = f[~f["doc_id"].duplicated() & ~f["doc_id"].isin(seen)]  # a repeated row once per task
-            seen.update(f["doc_id"])
-            for at in range(0, len(f), 1000):
-                part = f[at : at + 1000]
-                keys = [piece_keys(s, bands) if len(s := shingle(t)) else s for t in part["text"]]
-                reps = np.repeat(part["doc_id"].to_numpy(), [len(k) for k in keys])
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "rep": reps})
-
-    return docs.mapInPandas(run, "key long, rep long")
+            if not len(f):
+                continue
+            rows = np.concatenate([held, f[["key", "rep"]].to_numpy()])
+            rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+            same = rows[1:, 0] == rows[:-1, 0]
+            keep = np.append(False, same) | np.append(same, False)
+            if len(held):
+                keep[0] |= held_kept
+            # The last row may have its partner in the next batch.
+            yield pd.DataFrame(rows[:-1][keep[:-1]], columns=["key", "rep"])
+            held, held_kept = rows[-1:], bool(keep[-1])
+        if held_kept:
+            yield pd.DataFrame(held, columns=["key", "rep"])
+
+    dealt = keys.repartition("key").sortWithinPartitions("key", "rep")
+    return dealt.mapInPandas(run, "key long, rep long")
 
 
 def _fold(sketch: bytes, bits: int) -> np.ndarray:
@@ -253,7 +272,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def _star_pairs(shared: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """(u, v): each bucket's hub with the others, where their sketches allow a link."""
-    score = shared.groupBy("rep").agg(F.sum("size").alias("score"))
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    score = shared.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("score"))
     hubs = (
         shared.join(score, "rep")
         .groupBy("key")
@@ -346,7 +366,8 @@ def near_duplicates(
 
     A document's set is its distinct shingles of width words (ASCII white space parts words, A-Z lower-cased); with
     fewer words, the whole sequence as one. Documents link when 100 * intersection >= percent * union. component_id
-    is the least id reachable by links. A document without words, or with a null text or id, links with nothing.
+    is the least id reachable by links. A document without words, or with a null text or id, links with nothing. Ids are
+    integers: others are cast to long, and one that is no number is an error.
     Rows with one id and one text are one document; copies share representative_id, the least id of their set.
     An empty table gives an empty result; other columns are ignored. Sets are compared by 48-bit fingerprints.
     """
@@ -357,13 +378,9 @@ def near_duplicates(
         profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     )
     reps = classes.select("rep")
-    # Only representatives are cut into pieces. Their texts are read again rather than kept, and their pieces are
-    # made twice rather than written: they are larger than the texts.
-    chosen = rows.join(_few(reps), rows["doc_id"] == reps["rep"], "left_semi")
-    buckets = _buckets(chosen, percent, width)
-    different = F.min("rep") < F.max("rep")
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), different.alias("different"))
-    shared = written(buckets.join(sizes.where("different").select("key", "size"), "key").distinct())
+    # Only the keys of representatives travel.
+    chosen = profiles.join(_few(reps), profiles["doc_id"] == reps["rep"], "left_semi")
+    shared = written(_shared_keys(chosen.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))))
 
     links = written(_verified(rows, written(_star_pairs(shared, profiles, percent)), percent, width))
     labels = components(links)
