@@ -14,8 +14,8 @@ from idveil.llm.common import SPACES, table, written
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
-#: A document of whose words a larger share would go is a copy rather than a page with boilerplate; it stays whole.
-MAX_SHARE = 0.5
+#: Documents with boilerplate whose line hashes are broadcast at most, and these hashes; more are joined by shuffle.
+MAX_BROADCAST_DOCS, MAX_BROADCAST_HASHES = 200_000, 2_000_000
 #: Base-2 logarithm of the sketch size; relative standard error 1.04 / sqrt(2 ** LG_K).
 LG_K = 10
 #: Estimates within so many standard errors of the threshold are counted exactly.
@@ -32,12 +32,17 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def hashed_lines(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """id, site, hashes (of the lines with words): the one pass over the texts that all counts share."""
+def hashed_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text") -> DataFrame:
+    """doc (all columns), row, site, hashes (of the lines with words): the one pass over the texts that all counts share.
+
+    To be written once: row is a number of this very reading.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     return docs.select(
-        F.col(id_col).alias("id"),
-        F.col(site_col).cast("string").alias("site"),
-        F.array_compact(F.transform(_lines(F.col(text_col)), _key)).alias("hashes"),
+        F.struct(*columns).alias("doc"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{site_col}`").cast("string").alias("site"),
+        F.array_compact(F.transform(_lines(F.col(f"`{text_col}`")), _key)).alias("hashes"),
     )
 
 
@@ -77,57 +82,53 @@ def spread_lines(hashed: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K
     return sure.unionAll(exact)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it until no column has it (whatever the case)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def drop_boilerplate(
-    docs: DataFrame,
-    min_sites: int = MIN_SITES,
-    max_share: float = MAX_SHARE,
-    id_col: str = "doc_id",
-    site_col: str = "source",
-    text_col: str = "text",
-    lg_k: int = LG_K,
+    docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", text_col: str = "text", lg_k: int = LG_K
 ) -> DataFrame:
-    """docs with its text cleaned, and n_lines, n_removed, left_whole (all its other columns as they were).
+    """docs with its text cleaned, and n_lines, n_removed; all its other columns stay as they were, whatever their names
+    (a column called n_lines or n_removed stays, and the new one gets an underscore behind its name).
 
     Lines end at a line feed; equal lines are those with equal words between white space. Lines without words are
-    never boilerplate. A document whose boilerplate lines have more than max_share of its characters (white space
-    at the ends of lines apart) stays whole: removing them would empty a copy, which is document dedup's work.
-    A null text has no lines and stays null; a null site is no site. Documents that share an id share one
-    list of lines to go, the same for each. An empty table gives an empty result.
+    never boilerplate. Every line on min_sites sites or more leaves every document, also one that is left empty by it. A
+    null text has no lines and stays null; a null site is no site. Repeated rows are cleaned each; ids do not
+    matter. An empty table gives an empty result.
     """
-    added = {"n_lines", "n_removed", "left_whole"} & set(docs.columns)
-    if added:
-        docs = docs.drop(*added)
-    hashed = written(hashed_lines(docs, id_col, site_col, text_col))
-    hits = (
-        hashed.select(F.col("id").alias("__id"), F.explode("hashes").alias("hash"))
+    hashed = written(hashed_lines(docs, site_col, text_col))
+    hits = written(
+        hashed.select("row", F.explode("hashes").alias("hash"))
         .join(spread_lines(hashed, min_sites, lg_k), "hash", "left_semi")
-        .groupBy("__id")
-        .agg(F.collect_set("hash").alias("__gone"))
-    )
-    stays = F.filter(_lines(F.col("__text")), lambda x: F.coalesce(~F.array_contains("__gone", _key(x)), F.lit(True)))
-    length = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(F.trim(x)))
-    joined = docs.withColumn("__text", F.col(text_col)).join(
-        hits, F.col(id_col).eqNullSafe(F.col("__id")), "left"
+        .groupBy("row")
+        .agg(F.collect_set("hash").alias("gone"))
     )
-    # Documents without a hit, nearly all, never split their text.
-    hit = F.col("__gone").isNotNull() & F.col("__text").isNotNull()
-    rows = joined.withColumn("__stays", F.when(hit, stays))
-    rows = rows.withColumn("__total", F.when(hit, length(_lines(F.col("__text")))))
-    left_whole = hit & (F.col("__total") - length(F.col("__stays")) > max_share * F.col("__total"))
-    rows = rows.withColumn("left_whole", F.coalesce(left_whole, F.lit(False)))
-    changed = hit & ~F.col("left_whole")
-    n_lines = F.when(F.col("__text").isNull(), 0).otherwise(F.size(_lines(F.col("__text"))))
-    return (
-        rows.withColumn("n_lines", n_lines)
-        .withColumn("n_removed", F.when(changed, F.col("n_lines") - F.size("__stays")).otherwise(0))
-        .withColumn(text_col, F.when(changed, F.array_join("__stays", "\n")).otherwise(F.col("__text")))
-        .select(*docs.columns, "n_lines", "n_removed", "left_whole")
+    size = hits.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("hashes")).first()
+    few = size["docs"] <= MAX_BROADCAST_DOCS and size["hashes"] <= MAX_BROADCAST_HASHES
+    # Beyond that, rows meet their hashes by row number, one to one.
+    joined = hashed.select("doc", "row").join(F.broadcast(hits) if few else hits, "row", "left")
+    text = F.col(f"doc.`{text_col}`")
+    stays = F.filter(_lines(text), lambda x: F.coalesce(~F.array_contains("gone", _key(x)), F.lit(True)))
+    # Documents without a hit, nearly all, are not taken apart.
+    rows = joined.select("doc", F.when(F.col("gone").isNotNull(), stays).alias("stays"))
+    hit = F.col("stays").isNotNull()
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(_lines(text)))
+    cleaned = F.when(hit, F.array_join("stays", "\n")).otherwise(text)
+    same = [cleaned.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    return rows.select(
+        *same,
+        n_lines.alias(_free("n_lines", docs.columns)),
+        F.when(hit, n_lines - F.size("stays")).otherwise(0).alias(_free("n_removed", docs.columns)),
     )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_boilerplate(table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "text", "n_lines", "n_removed", "left_whole")
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
 
 
 OP8_SQL = rf"""
@@ -142,14 +143,10 @@ WITH l AS (
   SELECT l.*, s.even IS NOT NULL AS gone FROM l LEFT JOIN spread s ON l.even = s.even
 ), d AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone,
-         coalesce(sum(length(trim(line, ' ')))  FILTER (gone), 0) AS gone_chars, sum(length(trim(line, ' '))) AS chars,
          string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS rest
   FROM m GROUP BY doc_id
 )
-SELECT documents.doc_id,
-       CASE WHEN n_gone > 0 AND gone_chars <= {MAX_SHARE} * chars THEN coalesce(rest, '') ELSE text END AS text,
-       coalesce(n_lines, 0)::INTEGER AS n_lines,
-       (CASE WHEN n_gone > 0 AND gone_chars <= {MAX_SHARE} * chars THEN n_gone ELSE 0 END)::INTEGER AS n_removed,
-       coalesce(n_gone > 0 AND gone_chars > {MAX_SHARE} * chars, false) AS left_whole
+SELECT documents.doc_id, CASE WHEN n_gone > 0 THEN coalesce(rest, '') ELSE text END AS text,
+       coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_gone, 0)::INTEGER AS n_removed
 FROM documents LEFT JOIN d USING (doc_id)
 """

@@ -10,6 +10,7 @@ of their length, which two small shuffles of ids and lengths give. No text and n
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,8 +24,8 @@ from idveil.llm.common import pair, table, written
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
-#: Chunks whose ids a worker remembers, at most.
-REMEMBERED = 500_000
+#: Chunks in each of the two generations whose ids a worker remembers.
+REMEMBERED = 400_000
 #: Rows of a length that are numbered together.
 RANK_BLOCK = 10_000
 
@@ -101,34 +102,45 @@ def plan_slots(counts: dict[int, int], capacities: Capacities) -> pd.DataFrame:
     return pd.DataFrame(slots, columns=["length", "first_rank", "pieces", "first_sequence", "offset"], dtype="int64")
 
 
-_TOKENIZERS: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_TOKENIZERS: dict[str, list] = {}  # tokenizer, ids by chunk: of the present generation, of the one before
 
 
 def _chunk_ids(path: str, chunks: set[bytes]) -> dict[bytes, bytes]:
-    """The ids of each chunk as little-endian 32-bit numbers. A chunk has no white space."""
+    """The ids of each chunk as little-endian 32-bit numbers. A chunk has no white space.
+
+    A full generation becomes the one before; chunks that are met again move on, so frequent ones are never forgotten.
+    """
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _TOKENIZERS[path]
-    missing = list(chunks - known.keys())
-    if len(known) + len(missing) > REMEMBERED:
-        known = {c: known[c] for c in chunks if c in known}
-        _TOKENIZERS[path] = (tokenizer, known)
+        _TOKENIZERS[path] = [Tokenizer.from_file(path), {}, {}]
+    tokenizer, young, old = _TOKENIZERS[path]
+    if len(young) > REMEMBERED:
+        young, old = {}, young
+        _TOKENIZERS[path][1:] = [young, old]
+    missing = chunks - young.keys()
+    known = missing & old.keys()
+    young.update((c, old[c]) for c in known)
+    missing = list(missing - known)
     for at in range(0, len(missing), 20_000):
         part = missing[at : at + 20_000]
         found = tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
         for chunk, encoded in zip(part, found):
-            known[chunk] = np.array(encoded.ids, "<u4").tobytes()
-    return known
+            young[chunk] = np.array(encoded.ids, "<u4").tobytes()
+    return young
+
+
+#: Stops that end a chunk after a letter: the tokenizer parts them from the word before merging.
+_STOPS = re.compile(rb"(?<=[a-z])[.,;:!?]+(?=[\x20\x09-\x0D]|\Z)")
 
 
 def _chunks(text: str) -> list[bytes]:
-    """The white-space-free chunks of a text. The tokenizer lower-cases and drops white space, so the ids of a text are
-    those of its chunks in order. Special tokens are told by case, so a text that may hold one keeps its case."""
+    """The white-space-free chunks of a text, stops apart from words. The tokenizer lower-cases and drops white space, and
+    merges within runs of letters or of other signs, so the ids of a text are those of its chunks in order. Special
+    tokens are told by case, so a text that may hold one keeps its case."""
     raw = text.encode()
-    return (raw if b"<|" in raw else raw.lower()).split()
+    return (raw if b"<|" in raw else _STOPS.sub(rb" \g<0>", raw.lower())).split()
 
 
 def tokenise(
@@ -172,9 +184,15 @@ def tokenise(
 def pack(pieces: DataFrame, capacities: Capacities = Capacities()) -> DataFrame:
     """pieces with sequence_id and offset: as few sequences as vector best-fit needs, gapless from offset 0.
 
-    pieces has doc_id, piece and length, and is read twice, so it should be a written table; its other columns stay.
-    Repeated rows are packed each. An empty table gives an empty result.
+    pieces has doc_id, piece and length, and is read twice, so it should be a written table; its other columns stay, but
+    must not be named sequence_id or offset (an error). Repeated rows are packed each. An empty table gives an empty
+    result.
     """
+    clash = {"sequence_id", "offset"} & set(pieces.columns)
+    if clash:
+        raise ValueError(f"pieces already has {', '.join(sorted(clash))}")
+    unused = "_" * max(2, 1 + max(len(c) - len(c.lstrip("_")) for c in pieces.columns))
+    block_, number_, before_, rank_ = (f"{unused}{x}" for x in ("block", "n", "before", "rank"))
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = plan_slots(counts, capacities)
@@ -187,27 +205,27 @@ def pack(pieces: DataFrame, capacities: Capacities = Capacities()) -> DataFrame:
 
     blocks = 1 + sum(counts.values()) // RANK_BLOCK
     block = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks))
-    within = Window.partitionBy("length", "__block").orderBy("doc_id", "piece")
-    before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    rows = pieces.withColumn("__block", block)
+    within = Window.partitionBy("length", block_).orderBy("doc_id", "piece")
+    before = Window.partitionBy("length").orderBy(block_).rowsBetween(Window.unboundedPreceding, -1)
+    rows = pieces.withColumn(block_, block)
     offsets = (
-        rows.groupBy("length", "__block")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select("length", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        rows.groupBy("length", block_)
+        .agg(F.count(F.lit(1)).alias(number_))
+        .select("length", block_, F.coalesce(F.sum(number_).over(before), F.lit(0)).alias(before_))
     )
     ranked = (
-        rows.withColumn("__rank", F.row_number().over(within) - 1)
-        .join(offsets, ["length", "__block"])
-        .withColumn("__rank", F.col("__rank") + F.col("__before"))
-        .select(*pieces.columns, "__rank")
+        rows.withColumn(rank_, F.row_number().over(within) - 1)
+        .join(offsets, ["length", block_])
+        .withColumn(rank_, F.col(rank_) + F.col(before_))
+        .select(*[F.col(f"`{c}`") for c in pieces.columns], rank_)
     )
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, sequence, offset = plan.value
         for f in frames:
-            key = (f["length"].to_numpy() << shift) + f["__rank"].to_numpy()
+            key = (f["length"].to_numpy() << shift) + f[rank_].to_numpy()
             at = np.searchsorted(keys, key, side="right") - 1
-            yield f.drop(columns="__rank").assign(sequence_id=sequence[at] + key - keys[at], offset=offset[at])
+            yield f.drop(columns=rank_).assign(sequence_id=sequence[at] + key - keys[at], offset=offset[at])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in pieces.schema)
     return ranked.mapInPandas(assign, f"{fields}, sequence_id long, offset long")
@@ -221,7 +239,11 @@ def pack_documents(
     text_col: str = "text",
     with_ids: bool = False,
 ) -> DataFrame:
-    """Tokenised, cut and packed: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
+    """Tokenised, cut and packed: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
+
+    Null texts are empty: one piece of one token. A null id, and rows that repeat one, are documents of their own. Whole
+    texts of any length; other columns are ignored, whatever their names; an empty table gives an empty result.
+    """
     return pack(written(tokenise(docs, tokenizer_path, capacities.tokens, id_col, text_col, with_ids)), capacities)
 
 

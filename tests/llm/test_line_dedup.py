@@ -1,9 +1,13 @@
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from idveil.llm import line_dedup
 from idveil.llm.line_dedup import drop_boilerplate, hashed_lines, spread_lines
 
 
-def brute(rows, min_sites, share=0.5):
+def brute(rows, min_sites):
     even = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ")
     sites = {}
     for _, text, site in rows:
@@ -15,24 +19,32 @@ def brute(rows, min_sites, share=0.5):
     for doc_id, text, _ in rows:
         lines = text.split("\n") if text is not None else []
         stay = [x for x in lines if even(x) not in spread]
-        size = lambda x: sum(len(y.strip(" ")) for y in x)
-        whole = size(lines) - size(stay) > share * size(lines)
-        gone = 0 if whole else len(lines) - len(stay)
-        out.append((doc_id, text if whole or not gone else "\n".join(stay), len(lines), gone, whole and len(stay) < len(lines)))
+        gone = len(lines) - len(stay)
+        out.append((doc_id, "\n".join(stay) if gone else text, len(lines), gone))
     return sorted(out, key=repr)
 
 
-def test_against_brute_force(spark, awkward, empty):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_against_brute_force(spark, monkeypatch, broadcast):
+    """Short pages that are boilerplate for the most part, repeated and null ids, and nothing of them kept back."""
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST_DOCS", broadcast)
     rows = [(i, f"own line {i}\n  Cookie   notice \n\n{'long own text ' * 4}{i}", f"s{i % 7}") for i in range(60)]
     rows += [(100 + i, "Cookie notice", f"t{i}") for i in range(5)] + [(200, "rare\nrare two and more", None), (201, None, "a")]
-    rows += [(202, "a\rb\n \n", "a"), (203, "", "b")]
+    rows += [(202, "a\rb\n \n", "a"), (203, "", "b"), (None, "Cookie notice\nx", "c"), (None, "y", "d"), (5, "y", "e"), (5, "y", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'c' AS hash", "1 AS line")
-    for min_sites in (3, 7, 12, 13):
-        got = drop_boilerplate(df, min_sites)
-        got = [(r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["left_whole"]) for r in got.collect()]
+    for min_sites in (3, 12, 13, 14) if broadcast else (3,):
+        got = [(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in drop_boilerplate(df, min_sites).collect()]
         assert sorted(got, key=repr) == brute(rows, min_sites), min_sites
-    assert drop_boilerplate(awkward).count() == awkward.count()
-    assert drop_boilerplate(empty).columns == [*empty.columns, "n_lines", "n_removed", "left_whole"]
+
+
+def test_clashing_names_and_empty(spark, awkward, empty):
+    names = ["row", "doc", "gone", "stays", "__id", "__gone", "site", "hashes", "N_Lines", "a.b"]
+    for name in names:
+        awkward, empty = (df.withColumn(name, F.lit("clash")) for df in (awkward, empty))
+    got = drop_boilerplate(awkward)
+    assert got.columns == [*awkward.columns, "n_lines_", "n_removed"]
+    assert got.count() == awkward.count() and got.where("`N_Lines` = 'clash' AND `a.b` = 'clash'").count() == got.count()
+    assert drop_boilerplate(empty).columns == [*empty.columns, "n_lines_", "n_removed"]
     assert drop_boilerplate(empty).count() == 0
 
 

@@ -46,7 +46,7 @@ def test_ids_equal_library(spark, sf_dir, texts):
     assert used <= 1 + 1.01 * sum(r["length"] for r in rows) / 2048
 
 
-@pytest.mark.parametrize("text", ["It's <|endoftext|> A", "Σίσυφος ΣΑΣ İI", "é  x\x85y", "日本語 ١٢٣ 'S'LL", "<|STARTOFTEXT|>"])
+@pytest.mark.parametrize("text", ["It's <|endoftext|> A", "Σίσυφος ΣΑΣ İI", "é  x\x85y", "日本語 ١٢٣ 'S'LL", "<|STARTOFTEXT|>", "it's. a... b?! c.d, 'e.' f., g.\u0301 h.\x0bi, é. 1. x;", "End."])
 def test_chunks_give_the_ids_of_the_text(text):
     tokenizer = tokenizers.Tokenizer.from_file(PATH)
     known = packing._chunk_ids(PATH, set(packing._chunks(text)))
@@ -74,3 +74,22 @@ def test_awkward_rows(awkward, empty):
     check(found, packing.Capacities())
     assert sum(len(r["ids"]) for r in packing.sequences(rows).collect()) == sum(r["length"] for r in found)
     assert packing.pack_documents(empty, PATH).count() == 0
+
+
+def test_memory_of_chunks_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    tokenizer = tokenizers.Tokenizer.from_file(PATH)
+    for text in ["one two three four", "one five", "six seven eight nine ten", "one two", "", "ten one"]:
+        known = packing._chunk_ids(PATH, set(packing._chunks(text)))
+        ids = np.frombuffer(b"".join(known[c] for c in packing._chunks(text)), "<u4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(packing._TOKENIZERS[PATH][1]) <= 8
+
+
+def test_clashing_names(spark):
+    pieces = spark.createDataFrame([(i, 0, 1 + i % 5, "x", 7) for i in range(50)], "doc_id long, piece int, length long, __rank string, ___n int")
+    packed = packing.pack(pieces)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    check(packed.collect(), packing.Capacities())
+    with pytest.raises(ValueError, match="offset"):
+        packing.pack(pieces.withColumnRenamed("__rank", "offset"))
