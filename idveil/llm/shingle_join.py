@@ -131,23 +131,35 @@ def piece_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n, digest (of the set), sketch (bits of the own band), coarse (the sketch folded COARSE_FOLDS times), keys (of
-    the buckets): the one pass over all texts."""
+    """doc_id, n, digest (of the set), sketch (bits of the own band), coarse (the sketch folded COARSE_FOLDS times)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle, bands = Shingler(width), Bands(percent)
+        for f in frames:
+            rows = []
+            for doc_id, text in zip(f["doc_id"], f["text"]):
+                s = shingle(text)
+                sketch = np.packbits(_sketch(s, bands.bits(bands.of(len(s))))).tobytes() if len(s) else b""
+                coarse = _fold(sketch, max(64, len(sketch) * 8 >> COARSE_FOLDS)).tobytes() if sketch else b""
+                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch, coarse))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch", "coarse"])
+
+    return docs.mapInPandas(run, "doc_id long, n long, digest binary, sketch binary, coarse binary")
+
+
+def _keys(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """key, rep for the sketch pieces of each document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, bands = Shingler(width), Bands(percent)
         for f in frames:
             for at in range(0, len(f), 1000):
-                rows = []
-                for doc_id, text in zip(f["doc_id"][at : at + 1000], f["text"][at : at + 1000]):
-                    s = shingle(text)
-                    sketch = np.packbits(_sketch(s, bands.bits(bands.of(len(s))))).tobytes() if len(s) else b""
-                    coarse = _fold(sketch, max(64, len(sketch) * 8 >> COARSE_FOLDS)).tobytes() if sketch else b""
-                    keys = piece_keys(s, bands).view(np.int64) if len(s) else np.zeros(0, np.int64)
-                    rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch, coarse, keys))
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sketch", "coarse", "keys"])
+                part = f[at : at + 1000]
+                keys = [piece_keys(s, bands) if len(s := shingle(t)) else s for t in part["text"]]
+                reps = np.repeat(part["doc_id"].to_numpy(), [len(k) for k in keys])
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "rep": reps})
 
-    return docs.mapInPandas(run, "doc_id long, n long, digest binary, sketch binary, coarse binary, keys array<long>")
+    return docs.mapInPandas(run, "key long, rep long")
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
@@ -378,9 +390,10 @@ def near_duplicates(
         profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     )
     reps = classes.select("rep")
-    # Only the keys of representatives travel.
-    chosen = profiles.join(_few(reps), profiles["doc_id"] == reps["rep"], "left_semi")
-    shared = written(_shared_keys(chosen.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))))
+    # Only representatives are cut into pieces, from their texts: the keys are larger than these, so they are dealt out as they
+    # are made and never written with the profiles.
+    chosen = rows.join(_few(reps), rows["doc_id"] == reps["rep"], "left_semi")
+    shared = written(_shared_keys(_keys(chosen, percent, width)))
 
     links = written(_verified(rows, written(_star_pairs(shared, profiles, percent)), percent, width))
     labels = components(links)
