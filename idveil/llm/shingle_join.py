@@ -293,13 +293,14 @@ def _star_pairs(shared: DataFrame, profiles: DataFrame, percent: int) -> DataFra
         .select("key", (-F.col("m.minus")).alias("u"))
     )
     pairs = shared.join(hubs, "key").where("rep <> u").selectExpr("u", "rep AS v").distinct()
-    return _near_pairs(pairs, profiles, percent)
+    # Most fall to the coarse sketches, which are a quarter of the whole ones to move.
+    return _near_pairs(_near_pairs(pairs, profiles, percent, "coarse"), profiles, percent)
 
 
-def _near_pairs(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sketches allow a link."""
-    a = profiles.selectExpr("doc_id AS u", "n AS n_u", "sketch AS sketch_u")
-    b = profiles.selectExpr("doc_id AS v", "n AS n_v", "sketch AS sketch_v")
+def _near_pairs(pairs: DataFrame, profiles: DataFrame, percent: int, sketch: str = "sketch") -> DataFrame:
+    """The pairs (u, v) whose sketches allow a link."""
+    a = profiles.selectExpr("doc_id AS u", "n AS n_u", f"{sketch} AS sketch_u")
+    b = profiles.selectExpr("doc_id AS v", "n AS n_v", f"{sketch} AS sketch_v")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(percent)
