@@ -15,6 +15,7 @@ between different components is lost, and no bucket is expanded into pairs.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -217,6 +218,12 @@ def _near(bands: Bands, n: np.ndarray, sketches: list[bytes], left: np.ndarray,
     return out
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Has the driver forget plans that are done, so that Spark deletes their shuffle files now rather than when its memory runs low."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """ids for a broadcast if there are few of them; else as they are."""
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
@@ -395,8 +402,11 @@ def near_duplicates(
     # are made and never written with the profiles.
     chosen = rows.join(_few(reps), rows["doc_id"] == reps["rep"], "left_semi")
     shared = written(_shared_keys(_keys(chosen, percent, width)))
-
-    links = written(_verified(rows, written(_star_pairs(shared, profiles, percent)), percent, width))
+    _let_go(docs.sparkSession)
+    pairs = written(_star_pairs(shared, profiles, percent))
+    _let_go(docs.sparkSession)
+    links = written(_verified(rows, pairs, percent, width))
+    _let_go(docs.sparkSession)
     labels = components(links)
     more = written(_open_pairs(shared, profiles, labels, percent).join(links, ["u", "v"], "left_anti"))
     if more.limit(1).count():
