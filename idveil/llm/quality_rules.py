@@ -3,7 +3,8 @@
 Statistics of a text are built-in expressions. Learning reads labelled statistics only: a bounded sample of
 labelled rows is binned by Spark at quantile thresholds and counted per distinct combination of bins; sequential
 covering then grows a conjunction by FOIL gain on one half of the counts, prunes it on the other half, and removes
-what it covers, until no further rule is precise enough.
+what it covers. A conjunction that is not precise enough bars its first statistic from beginning another one until a
+rule is found; learning ends when no beginning is left.
 """
 
 from __future__ import annotations
@@ -191,7 +192,7 @@ def cover(cells: list[tuple[bool, bool, tuple[int, ...], int]], thresholds: dict
                 bad, good = (bad + n, good) if is_bad else (bad, good + n)
         return bad, good
 
-    def grown(part) -> list:
+    def grown(part, barred: set[tuple[int, bool]]) -> list:
         rule, inside = [], part
         bad, good = weigh(inside, [])
         while good and len(rule) < MAX_CONDITIONS:
@@ -206,6 +207,8 @@ def cover(cells: list[tuple[bool, bool, tuple[int, ...], int]], thresholds: dict
                 for t in range(n - 1):
                     p_low, q_low = p_low + p[t], q_low + q[t]
                     for above, a, b in ((False, p_low, q_low), (True, bad - p_low, good - q_low)):
+                        if not rule and (i, above) in barred:
+                            continue
                         if a >= MIN_COVER and a + b < bad + good:
                             gain = a * (math.log2(a / (a + b)) - math.log2(bad / (bad + good)))
                             if gain > best[0] + 1e-9:
@@ -222,16 +225,21 @@ def cover(cells: list[tuple[bool, bool, tuple[int, ...], int]], thresholds: dict
         return (bad + 1) / (bad + good + 1)
 
     rules: list[Rule] = []
+    barred: set[tuple[int, bool]] = set()  # statistic and side; each try adds one or a rule, so tries are bounded
     while len(rules) < MAX_RULES:
         grow, prune = [c for c in cells if c[0]], [c for c in cells if not c[0]]
         if not any(c[1] for c in grow):
             break
-        rule = grown(grow)
+        first = grown(grow, barred)
         # The prefix that is worth most on the other half: (bad - good) / (bad + good), the longer one on a tie.
         value = lambda r: (lambda w: (w[0] - w[1]) / max(1, sum(w)))(weigh(prune, r))
-        rule = max((rule[:n] for n in range(1, len(rule) + 1)), key=lambda r: (value(r), len(r)), default=[])
-        if not rule or min(precision(grow, rule), precision(prune, rule)) < MIN_PRECISION:
+        rule = max((first[:n] for n in range(1, len(first) + 1)), key=lambda r: (value(r), len(r)), default=[])
+        if not rule:
             break
+        if min(precision(grow, rule), precision(prune, rule)) < MIN_PRECISION:
+            barred.add(rule[0][:2])
+            continue
+        barred.clear()
         rules.append(tuple(Condition(STATISTICS[i], above, thresholds[STATISTICS[i]][t]) for i, above, t in rule))
         cells = [c for c in cells if not all(holds(t, c[2]) for t in rule)]
     return rules

@@ -114,7 +114,9 @@ def derive(records: DataFrame, key_cols: tuple[str, ...] = ()) -> DataFrame:
     payload digest; a response without one gets that of its body. The metadata block holds the source's HTTP
     header fields, its block's digest and length, the title, and the outlinks in order. The conversion block is the text of
     the page. Nulls: a null block is an empty one, a null date is NO_DATE, a null URI leaves its fields out, a
-    null identifier leaves refers-to null. Repeated responses give repeated records under the same identifiers.
+    null identifier leaves refers-to null. Repeated responses give repeated records under the same identifiers. An empty
+    table gives none; whole bodies are read, however long; other columns, whatever their names, are ignored. NUL and
+    U+0001 have no place in text and are left out of title, links and conversion (digests are of the source as it is).
     """
     rows = records.where("warc_type = 'response'").withColumn("__block", F.coalesce("block", F.lit("")))
     head, body = _parts(F.col("__block"))
@@ -129,15 +131,17 @@ def derive(records: DataFrame, key_cols: tuple[str, ...] = ()) -> DataFrame:
         head.alias("__head"),
         body.alias("__body"),
     )
-    title = F.regexp_extract("__body", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    links = F.regexp_extract_all("__body", F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
+    seen = F.translate("__body", "\0\x01", "")  # the marks that part texts below; no entity yields one
+    rows = rows.withColumn("__seen", seen)
+    title = F.regexp_extract("__seen", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    links = F.regexp_extract_all("__seen", F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
     fields = let(F.split("__head", CRLF), lambda x: F.slice(x, 2, F.size(x)))
     rows = rows.select(
         *key_cols, "__source", "__uri", "__date", "__digest", "__length", fields.alias("__fields"),
         F.coalesce("__payload", _digest(F.col("__body"))).alias("__payload"),
         # Entities in all three texts become characters in one call, so each page crosses to Python once.
         _unescaped(F.concat_ws("\0", F.regexp_replace(title, r"\s+", " "), F.array_join(links, "\x01"),
-                               F.translate(_markup_free(F.col("__body")), "\0\x01", ""))).alias("__texts"),
+                               _markup_free(F.col("__seen")))).alias("__texts"),
     )
     texts = F.split("__texts", "\0", 3)
     rows = rows.withColumn("__title", F.trim(F.get(texts, F.lit(0)))).withColumn("__links", F.get(texts, F.lit(1)))
@@ -200,17 +204,23 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of such files: the columns of FIELDS (strings, content_length long; null where missing), block, complete.
 
-    complete is false where a block holds the mark that begins a record, so that its length is not the stated one.
+    complete is false where a block holds the mark that begins a record, so that its length is not the stated one. The
+    values of a repeated field are joined by ", "; field names are read in either case. Empty files have no records.
     """
     mark = f"WARC/1.1{CRLF}"
     rows = spark.read.option("lineSep", mark).text(path).where(F.trim("value") != "")
     at = F.instr("value", F.lit(CRLF + CRLF))
     head = F.substring("value", F.lit(1), at - 1)
-    fields = F.str_to_map(F.regexp_replace(head, "(?m)^([^:\r\n]+): ", "$1\x01"), F.lit(CRLF), F.lit("\x01"))
+    fields = F.split(head, CRLF)
     block = F.substring(F.col("value"), at + 4, F.length("value"))
     rows = rows.select(fields.alias("f"), F.regexp_replace(block, f"{CRLF}{CRLF}\\z", "").alias("block"))
-    rows = rows.select(*[F.col("f").getItem(name).alias(c) for name, c in FIELDS], "block")
-    rows = rows.withColumn("content_length", F.col("content_length").cast("long"))
+
+    def values(name: str) -> Column:
+        own = F.filter("f", lambda x: F.lower(F.substring_index(x, ":", 1)) == name.lower())
+        return F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda x: F.trim(F.substr(x, F.lit(len(name) + 2)))), ", "))
+
+    rows = rows.select(*[values(name).alias(c) for name, c in FIELDS], "block")
+    rows = rows.withColumn("content_length", F.col("content_length").try_cast("long"))
     return rows.withColumn("complete", F.octet_length("block") == F.col("content_length"))
 
 

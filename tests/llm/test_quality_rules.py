@@ -1,6 +1,9 @@
+import os
 import re
 from collections import Counter
 
+import pytest
+
 from idveil.llm import quality_rules as q
 
 
@@ -64,3 +67,31 @@ def test_sample_is_bounded(spark):
     labels = spark.range(5000).selectExpr("id AS doc_id", "1 AS quality")
     assert q.labelled_sample(labels, "doc_id", "quality", 300).count() == 300
     assert q.labelled_sample(labels, "doc_id", "quality", 6000).count() == 5000
+
+
+def test_an_imprecise_beginning_does_not_end_learning():
+    """Long words tell more bad rows apart but are not precise; symbols are, and are found after them."""
+    at = {s: i for i, s in enumerate(q.STATISTICS)}
+    thresholds = {s: [1.0] if s in ("mean_word", "symbol_share") else [] for s in q.STATISTICS}
+
+    def bins(word, symbol):
+        b = [0] * len(q.STATISTICS)
+        b[at["mean_word"]], b[at["symbol_share"]] = word, symbol
+        return tuple(b)
+
+    cells = []
+    for half in (True, False):
+        cells += [(half, True, bins(1, 0), 20), (half, False, bins(1, 0), 8), (half, True, bins(0, 1), 6), (half, False, bins(0, 0), 200)]
+    assert q.cover(cells, thresholds) == [(q.Condition("symbol_share", True, 1.0),)]
+
+
+def test_learns_from_few_labels(spark):
+    """The query's learner at a small scale: some of the bad rows that the base rules keep are rejected, good ones stay."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    rows = q.op1_quality_rules(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    n = {(r["quality"], r["kept"]): r["count"] for r in rows.where("NOT base_failed").groupBy("quality", "kept").count().collect()}
+    bad, good = n.get((0, False), 0), n.get((1, False), 0)
+    assert bad >= 0.8 * (bad + n.get((0, True), 0))
+    assert good <= 0.02 * (good + n[1, True])

@@ -91,3 +91,22 @@ def test_other_records_nulls_and_empty(spark):
     kept = [r for r in made if r["refers_to"] == "<b>"]
     assert {r["payload_digest"] for r in kept} == {"sha1:X"} and {r["refers_to_date"] for r in kept} == {"d"}
     assert warc.derive(df.where("false")).count() == 0
+
+
+def test_control_characters_stay_out_of_texts(spark):
+    page = "<title>a\0b</title><a href='u\x01v'>x\0y</a>&#0;&#1;z"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    rows = {r["warc_type"]: r["block"] for r in warc.derive(warc.responses(df), ("page_id",)).collect()}
+    assert rows["conversion"] == "ab\nxy\ufffdz"
+    assert "title: ab\r\noutlink: uv" in rows["metadata"]
+
+
+def test_repeated_and_odd_header_fields(spark, tmp_path):
+    text = ("WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Concurrent-To: <a>\r\nwarc-concurrent-to: <b>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+            "WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: many\r\nno colon\r\n\r\ny\r\n\r\n")
+    (tmp_path / "f.warc").write_text(text, newline="")
+    got = {r["block"]: r for r in warc.read_warc(spark, str(tmp_path / "f.warc")).collect()}
+    assert got["x"]["concurrent_to"] == "<a>, <b>" and got["x"]["complete"] and got["x"]["record_id"] is None
+    assert got["y"]["content_length"] is None and not got["y"]["complete"]
+    (tmp_path / "empty.warc").write_text("")
+    assert warc.read_warc(spark, str(tmp_path / "empty.warc")).count() == 0
