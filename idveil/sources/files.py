@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from idveil.constants import TEXT_SUFFIXES
@@ -15,12 +17,10 @@ from idveil.functions.columns import strip
 from idveil.functions.text import may_hold_identifier
 from idveil.sources.delimited import delimited_records
 from idveil.sources.json_cells import document_rows, line_rows
-from idveil.sources.numbering import numbered, split_offsets, tagged
+from idveil.sources.numbering import MAX_BROADCAST_SPLITS, numbered, split_offsets, tagged
 from idveil.sources.parquet_files import parquet_frames
 from idveil.sources.tables import UNNAMED, cell, error_cells, present, row_context, table_rows
 
-SMALL_TEXT_BYTES = 64 * 1024 * 1024
-LINES_PER_BLOCK = 100_000
 _BOM = "^\\ufeff"
 
 
@@ -181,45 +181,62 @@ def _near_lines(lines: Column, line: Column, i: Column) -> Column:
     return _near(F.when(i > 0, F.get(lines, i - 1)), line, F.get(lines, i + 1))
 
 
-def text_rows(
-    spark: SparkSession,
-    path: str,
-    small_bytes: int = SMALL_TEXT_BYTES,
-    lines_per_block: int = LINES_PER_BLOCK,
-    splits: int | None = None,
-) -> DataFrame:
-    """Text files line by line.
+def _inner_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with the lines before and after them, but for the first and last line of a split.
 
-    Files up to *small_bytes* are read whole, so a line finds its neighbours in its own
-    record. Larger files are split; their lines are numbered exactly and meet their
-    neighbours in blocks of lines that borrow one line on either side, so that no task
-    has to hold or sort a whole file.
+    The lines of a split come in order, so the neighbours of all others are next to them; two lines are carried over
+    from batch to batch.
+    """
+    carried: pa.Table | None = None
+    for batch in batches:
+        lines = pa.Table.from_batches([batch])
+        if carried is not None:
+            lines = pa.concat_tables([carried, lines])
+        lines = lines.combine_chunks()
+        n = lines.num_rows
+        if n > 2:
+            value = lines["value"]
+            middle = lines.slice(1, n - 2).select(["_file", "_row", "value", "_edge"])
+            near = middle.append_column("_before", value.slice(0, n - 2)).append_column("_after", value.slice(2))
+            yield from near.filter(pc.invert(near["_edge"])).drop_columns(["_edge"]).to_batches()
+        carried = lines.slice(max(0, n - 2))
+
+
+def text_rows(spark: SparkSession, path: str, splits: int | None = None) -> DataFrame:
+    """Text files line by line, with the line before and after as context, whatever their size.
+
+    Lines are numbered exactly and stay where they are read: within a split, neighbours follow each other. Only the
+    two first and two last lines of each split travel to meet the lines of the next one. A byte order mark at
+    the beginning of a file is no part of its first line.
     """
-    small = F.col("_metadata.file_size") <= small_bytes
-    whole = (
-        _reader(spark, *TEXT_SUFFIXES)
-        .text(path, wholetext=True)
-        .where(small)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    lines = tagged(_reader(spark, *TEXT_SUFFIXES).text(path))
+    rows = numbered(lines, split_offsets(lines), splits)
+    begin, end = F.col("_before") + 1, F.col("_before") + F.col("_n")
+    rows = rows.withColumns({"_edge": F.col("_row").isin(begin, end), "_halo": F.col("_row").isin(begin, begin + 1, end - 1, end)})
+
+    ordered = rows.select("_file", "_block", "_row", "value", "_edge")
+    if splits is None or splits > MAX_BROADCAST_SPLITS:  # the join may have moved lines
+        ordered = ordered.repartition("_file", "_block").sortWithinPartitions("_file", "_block", "_row")
+    inner = ordered.drop("_block").mapInArrow(
+        _inner_lines, "_file string, _row long, value string, _before string, _after string"
     )
-    large = tagged(_reader(spark, *TEXT_SUFFIXES).text(path).where(~small))
-    rows = numbered(large, split_offsets(large), splits).select("_file", "_row", "value")
 
-    at = F.col("_row") - 1
-    own = F.floor(at / lines_per_block)
-    borrowers = F.array_distinct(
-        F.array(F.floor((at - 1) / lines_per_block), own, F.floor((at + 1) / lines_per_block))
-    )
-    lent = rows.select("*", own.alias("_own"), F.explode(borrowers).alias("_in"))
-    order = W.partitionBy("_file", "_in").orderBy("_row")
-    near = _near(F.lag("value").over(order), F.col("value"), F.lead("value").over(order))
-    kept = lent.select("*", near.alias("_near")).where(
-        (F.col("_own") == F.col("_in")) & (strip("value") != "")
+    nothing = F.lit(None).cast("string")
+    def lent(distance: int, name: str) -> Column:
+        texts = [(F.col("value") if c == name else nothing).alias(c) for c in ("value", "_before", "_after")]
+        return F.struct((F.col("_row") + distance).alias("_row"), *texts, (F.col("_edge") & (name == "value")).alias("_edge"))
+
+    halo = rows.where("_halo").select("_file", F.inline(F.array(lent(0, "value"), lent(1, "_before"), lent(-1, "_after"))))
+    edges = (
+        halo.groupBy("_file", "_row")
+        .agg(F.max("value").alias("value"), F.max("_before").alias("_before"), F.max("_after").alias("_after"), F.bool_or("_edge").alias("_edge"))
+        .where("_edge")
+        .drop("_edge")
     )
-    split = kept.select(
-        *_text_row(F.col("_file"), F.col("_row"), F.col("value"), F.col("_near"))
+    near = inner.unionByName(edges).where(strip("value") != "")
+    return near.select(
+        *_text_row(F.col("_file"), F.col("_row"), F.col("value"), _near(F.col("_before"), F.col("value"), F.col("_after")))
     )
-    return text_line_rows(whole).unionByName(split)
 
 
 # --- JSON --------------------------------------------------------------------------

@@ -25,7 +25,7 @@ def tagged(df: DataFrame) -> DataFrame:
 
 
 def split_offsets(records: DataFrame, head: Column | None = None) -> DataFrame:
-    """Per split: its first id and the number of records before it in the file.
+    """Per split: its first id, the number of its records and of those before it in the file.
 
     With *head*, also the first non-null value of it in the file and the row it is on
     (the header record).
@@ -48,6 +48,7 @@ def split_offsets(records: DataFrame, head: Column | None = None) -> DataFrame:
         "_file",
         "_block",
         "_first_id",
+        "_n",
         "_before",
         F.first("_h.value", ignorenulls=True).over(whole).alias("_head"),
         F.first(head_row, ignorenulls=True).over(whole).alias("_head_row"),

@@ -122,15 +122,44 @@ def test_text_lines(spark, tmp_path):
     ]
 
 
-def test_large_text_files_give_the_same_lines(spark, tmp_path, split_small):
-    text = "\n".join("" if i % 9 == 0 else f"line {i} of many" for i in range(1, 400)) + "\n"
-    write(tmp_path, "big.log", text)
-    small = fs.text_rows(spark, str(tmp_path))
-    large = fs.text_rows(spark, str(tmp_path), small_bytes=10, lines_per_block=7, splits=10_000)
-    pick = ("row", "row_context", F.col("cells.text").alias("t"))
-    a = small.select(*pick).orderBy("row").collect()
-    assert len(a) == 355
-    assert a == large.select(*pick).orderBy("row").collect()
+@pytest.mark.parametrize("splits", [None, 10_000])
+def test_lines_of_split_files_meet_their_neighbours(spark, tmp_path, split_small, splits):
+    """Files of many splits, of one split, of one line and of none, against the form that holds whole texts."""
+    texts = {
+        "big.log": "\n".join("" if i % 9 == 0 else f"line {i} of many" for i in range(1, 400)) + "\n",
+        "long.txt": "\r\n".join(f"{i} " + "x" * (i * 37 % 400) for i in range(60)),
+        "one.md": "alone",
+        "two.md": "first\nsecond",
+        "none.txt": "",
+        "blank.txt": "\n\n\n",
+    }
+    for name, text in texts.items():
+        write(tmp_path, name, text)
+    name = F.element_at(F.split("file", "/"), -1).alias("name")
+    pick = (name, "row", "row_context", F.col("cells.text").alias("t"))
+    whole = spark.createDataFrame(list(texts.items()), "file string, text string")
+    want = sorted(fs.text_line_rows(whole).select(*pick).collect())
+    rows = fs.text_rows(spark, str(tmp_path), splits=splits)
+    assert sorted(rows.select(*pick).collect()) == want
+    assert len([r for r in want if r["name"] == "big.log"]) == 355
+
+
+def test_only_edge_lines_of_text_travel(spark, tmp_path):
+    write(tmp_path, "a.txt", "\n".join(f"line {i}" for i in range(5000)))
+    rows = fs.text_rows(spark, str(tmp_path), splits=100)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("Union"):]
+    assert "MapInArrow" in moved and "Window [lag" not in plan and "lead(" not in plan
+    assert "_halo" in moved or "IN (" in moved  # the lines that are grouped are chosen before
+    assert rows.count() == 5000
+
+
+def test_byte_order_mark_at_every_size(spark, tmp_path, split_small):
+    write(tmp_path, "s.txt", "\ufeffABCPD1234E\nnext")
+    write(tmp_path, "l.txt", "\ufeffABCPD1234E\n" + "\n".join(f"line {i}" for i in range(400)))
+    got = {r["file"][-5:]: r for r in fs.text_rows(spark, str(tmp_path), splits=1000).where("row = 1").collect()}
+    assert got["s.txt"]["cells"][0]["text"] == got["l.txt"]["cells"][0]["text"] == "ABCPD1234E"
+    assert got["s.txt"]["row_context"] == "ABCPD1234E next"
 
 
 def test_json(spark, tmp_path):
