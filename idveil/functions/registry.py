@@ -26,6 +26,7 @@ class Recognizer:
     find: Callable[[Chunk], Column]
     order: tuple[str, int]
     shape: str | None = None  # a text must show it to hold the identifier
+    test: Callable[[Column], Column] | None = None  # the same for an own recognizer
 
     @property
     def built_in(self) -> bool:
@@ -57,15 +58,22 @@ class Registry:
         self._all = {x.entity: x for x in _built_ins()}
         self._disabled: set[str] = set()
 
-    def register(self, entity: str, find: Callable[[Column], Column]) -> None:
+    def register(
+        self, entity: str, find: Callable[[Column], Column], test: Callable[[Column], Column] | None = None
+    ) -> None:
         """Add a recognizer: *find* maps a text Column to the match array.
 
         ``recognizers.MATCH_TYPE`` gives the array type. Built-in expressions run
-        fastest; a ``pandas_udf`` returning that type works as well. Own recognizers
-        see every cell: the built-in candidate test does not apply to them.
+        fastest; a ``pandas_udf`` returning that type works as well.
+
+        *test* is a cheap condition without which *find* yields nothing, for example
+        ``lambda text: text.contains("B-")``. It must hold for a text if it holds for a part
+        of it, as texts are tested before they are cut. Texts that pass neither it nor the
+        built-in test end there, and *find* reads only texts that pass. A recognizer
+        without a test sees every cell, so all cells are then normalised and cut.
         """
         entity = entity.upper()
-        self._all[entity] = Recognizer(entity, lambda c: find(c.text), (entity, 0))
+        self._all[entity] = Recognizer(entity, lambda c: find(c.text), (entity, 0), test=test)
 
     def disable(self, entity: str) -> None:
         self._disabled.add(entity.upper())

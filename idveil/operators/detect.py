@@ -58,6 +58,19 @@ class Settings:
         """The candidate tests hold for the built-in recognizers only."""
         return all(x.built_in for x in self.recognizers)
 
+    @property
+    def tested(self) -> bool:
+        """Every recognizer says what a text must show."""
+        return all(x.built_in or x.test for x in self.recognizers)
+
+    def or_own(self, built_in: Column, text: Column, raw: bool = False) -> Column:
+        """The candidate test of all recognizers. Raw text that is not plain ASCII may still become a candidate."""
+        for x in self.recognizers:
+            if x.test is not None:
+                own = F.coalesce(x.test(text), F.lit(False))
+                built_in = built_in | (own | text.rlike(r"[^\x00-\x7F]") if raw else own)
+        return built_in
+
 
 @dataclass(frozen=True)
 class Step:
@@ -105,9 +118,10 @@ def _chunk_steps(s: Settings, own_context: bool) -> list[Step]:
     """Candidate cells, normalised and split: one line per chunk."""
     place = (*LOCATION, *s.keep)
     cells = F.col("cells")
-    if s.gated:
+    if s.tested:
         cells = F.filter(
-            cells, lambda c: c["error"] | (~c["inert"] & may_hold_identifier(c["text"]))
+            cells,
+            lambda c: c["error"] | s.or_own(~c["inert"] & may_hold_identifier(c["text"]), c["text"], raw=True),
         )
     context = F.col("row_context") if own_context else joined_cells()
     dense = row_is_dense("context") if s.use_row_context else F.lit(False)
@@ -137,11 +151,11 @@ def _chunk_steps(s: Settings, own_context: bool) -> list[Step]:
             normalise_text("text").alias("clean"),
         ),
     ]
-    if s.gated:
-        steps.append(_where(F.col("error") | is_candidate("clean")))
+    if s.tested:
+        steps.append(_where(F.col("error") | s.or_own(is_candidate("clean"), F.col("clean"))))
     steps.append(_select(*here, F.posexplode_outer(chunks).alias("chunk_no", "chunk")))
-    if s.gated:
-        steps.append(_where(F.col("error") | is_candidate("chunk")))
+    if s.tested:
+        steps.append(_where(F.col("error") | s.or_own(is_candidate("chunk"), F.col("chunk"))))
     return steps
 
 
@@ -176,6 +190,8 @@ def _match_steps(s: Settings) -> list[Step]:
 
     def read(x: Recognizer) -> Column:
         found = _slim(x.find(chunk))
+        if x.test is not None:
+            return F.when(x.test(F.col("chunk")), F.coalesce(found, nothing)).otherwise(nothing)
         if x.shape is None:
             return F.coalesce(found, nothing)
         return F.when(F.col(f"is_{x.shape}"), found).otherwise(nothing)

@@ -390,12 +390,53 @@ def remediate_cells(cells: DataFrame, mode: str = "mask", text: str = "text", **
 remediate_documents = remediate_cells
 
 
+#: A heavy-hitter sketch tracks so many tokens and names so many at most.
+SKETCH_ITEMS, SKETCH_TOP = 10_000, 1_000
+
+
+def _hot_tokens(df: DataFrame, token: str, slot_rows: int, slots: str) -> DataFrame:
+    """Tokens that fill more than one slot of rows, and into how many slots they go: SKETCH_TOP rows at most."""
+    known = df.select(F.col(f"`{token}`").cast("string").alias("_t")).where("_t IS NOT NULL")
+    top = known.agg(F.expr(f"approx_top_k(_t, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top"))
+    found = top.select(F.inline("top")).toDF("_t", "n").where(F.col("n") > slot_rows)
+    return found.select("_t", F.ceil(F.col("n") / slot_rows).cast("int").alias(slots))
+
+
 def correlate(
-    left: DataFrame, right: DataFrame, left_token: str, right_token: str | None = None
+    left: DataFrame,
+    right: DataFrame,
+    left_token: str,
+    right_token: str | None = None,
+    slot_rows: int | None = None,
 ) -> DataFrame:
-    """Join two tokenised tables on their tokens; Spark picks the join from the sizes."""
+    """Join two tokenised tables on their tokens; null tokens meet nothing.
+
+    By default Spark picks the join from the sizes, and adaptive execution cuts skewed partitions. With *slot_rows* the
+    join does not rely on that: one sketch per side finds tokens with more rows than that, their rows are
+    dealt out to as many slots as they fill, and the other side's rows of these tokens are copied to each slot. All other rows
+    have one slot. The sketch decides where rows meet, never whether they do. Copies stay below the rows that the join returns
+    for the token, as a slot is only made per *slot_rows* rows.
+    """
     right_token = right_token or left_token
-    return left.join(right, left[left_token] == right[right_token], "inner")
+    if slot_rows is None:
+        return left.join(right, left[left_token] == right[right_token], "inner")
+    if slot_rows < 1:
+        raise ValueError("slot_rows must be 1 or more")
+    hot = _hot_tokens(left, left_token, slot_rows, "_a").join(
+        _hot_tokens(right, right_token, slot_rows, "_b"), "_t", "full"
+    )
+    hot = F.broadcast(hot.select("_t", *[F.coalesce(c, F.lit(1)).alias(c) for c in ("_a", "_b")]))
+
+    def placed(df: DataFrame, token: str, row: str, dealt: str, copied: str) -> DataFrame:
+        packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row), F.col(f"`{token}`").cast("string").alias("_t"))
+        sized = packed.where("_t IS NOT NULL").join(hot, "_t", "left").fillna(1, ["_a", "_b"])
+        # Seeded, so that a repeated task deals alike; and below the copies, so that all copies of a row share its slot.
+        own = sized.withColumn(dealt, F.floor(F.rand(17) * F.col(dealt)).cast("int"))
+        return own.select(row, "_t", dealt, F.explode(F.sequence(F.lit(0), F.col(copied) - 1)).alias(copied))
+
+    a = placed(left, left_token, "_left", "_a", "_b")
+    b = placed(right, right_token, "_right", "_b", "_a")
+    return a.join(b, ["_t", "_a", "_b"]).select("_left.*", "_right.*")
 
 
 __all__ = [

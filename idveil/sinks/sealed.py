@@ -18,6 +18,7 @@ from idveil.operators.rollups import report
 FORMAT = "idveil-sealed-v1"
 KEY_ITERATIONS = 600_000  # PBKDF2-SHA256
 SALT_BYTES = 16
+MAX_SALTS = 1_000  # sealing runs that one dataset may hold; each takes a key derivation when it is opened
 
 
 def derive_key(passphrase: str, salt: bytes) -> bytes:
@@ -39,16 +40,20 @@ def encrypt_findings(findings: DataFrame, passphrase: str, salt: bytes | None =
 
 
 def decrypt_findings(sealed: DataFrame, passphrase: str) -> DataFrame:
-    """The findings of a sealed dataset. A wrong passphrase or altered data is an error.
+    """The findings of sealed datasets, also of several that were sealed under salts of their own.
 
-    Reads one row first for the salt, which all rows of a dataset share.
+    A wrong passphrase or altered data is an error, as is any row of another format. The distinct salts are read
+    first, one per sealing run (more than ``MAX_SALTS`` are an error); their keys are a small map in the plan.
     """
-    head = sealed.select("format", "salt").first()
-    if head is None:
+    heads = sealed.select("format", "salt").distinct().limit(MAX_SALTS + 1).collect()
+    if not heads:
         return sealed.sparkSession.createDataFrame([], _SCHEMA)
-    if head["format"] != FORMAT:
+    if any(h["format"] != FORMAT or h["salt"] is None for h in heads):
         raise ValueError("not a sealed findings dataset")
-    key = F.lit(derive_key(passphrase, bytes(head["salt"])))
+    if len(heads) > MAX_SALTS:
+        raise ValueError(f"more than {MAX_SALTS} sealing runs in one dataset")
+    keys = [x for h in heads for x in (F.lit(bytes(h["salt"]).hex().upper()), F.lit(derive_key(passphrase, bytes(h["salt"]))))]
+    key = F.create_map(*keys)[F.hex("salt")]
     text = F.aes_decrypt(F.col("payload"), key, F.lit("GCM")).cast("string")
     return sealed.select(F.from_json(text, _SCHEMA).alias("f")).select("f.*")
 

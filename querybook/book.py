@@ -1076,6 +1076,24 @@ def _(spark, sf):
     )
 
 
+@query(
+    "token_join_hot",
+    """
+select s_nationkey, count(*) as lines, count(distinct l_orderkey) as orders
+from (select l_orderkey, case when l_orderkey % 3 = 0 then 1 else l_suppkey end as k from lineitem) l
+join supplier on s_suppkey = k group by s_nationkey""",
+)
+def _(spark, sf):
+    """A token on a third of the rows: found by a sketch, and its rows dealt out to several tasks."""
+    key = F.when(F.col("l_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("l_suppkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", iv.tokenize(key.cast("string"), "SUPPLIER", SALT, 64).alias("seen"))
+    suppliers = table(spark, sf, "supplier").select(
+        "s_nationkey", iv.tokenize(F.col("s_suppkey").cast("string"), "SUPPLIER", SALT, 64).alias("owner")
+    )
+    joined = iv.correlate(lines, suppliers, "seen", "owner", slot_rows=5_000)
+    return joined.groupBy("s_nationkey").agg(F.count("*").alias("lines"), F.countDistinct("l_orderkey").alias("orders"))
+
+
 @query("encrypt_roundtrip", findings_sql(f"select {FINDING_SQL} from findings", "documents"))
 def _(spark, sf):
     """Findings sealed and opened again."""

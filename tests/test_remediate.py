@@ -88,6 +88,23 @@ def test_remediation_is_a_narrow_projection(contacts):
     assert "Exchange" not in plan
 
 
+def test_hot_tokens_are_dealt_out(spark):
+    """Tokens that are hot on the left, on the right, on both sides and nowhere; nulls, repeated rows, clashing names."""
+    left = [("l",) * 50 + ("b",) * 30 + ("r",) * 2 + tuple("xyz") + (None,) * 9]
+    right = [("r",) * 45 + ("b",) * 25 + ("l",) * 3 + ("x", "x", "w") + (None,) * 7]
+    a = spark.createDataFrame([(t, i // 2) for i, t in enumerate(left[0])], "tok string, `_a` int")
+    b = spark.createDataFrame([(t, i // 3) for i, t in enumerate(right[0])], "other string, `_left` int")
+    want = sorted(map(tuple, iv.correlate(a, b, "tok", "other").collect()))
+    assert len(want) == 50 * 3 + 30 * 25 + 2 * 45 + 2
+    for slot_rows in (1, 10, 1000):
+        joined = iv.correlate(a, b, "tok", "other", slot_rows)
+        assert joined.columns == ["tok", "_a", "other", "_left"]
+        assert sorted(map(tuple, joined.collect())) == want
+    assert iv.correlate(a.where("false"), b, "tok", "other", 10).count() == 0
+    with pytest.raises(ValueError):
+        iv.correlate(a, b, "tok", "other", 0)
+
+
 def test_sheet_cells_and_documents(spark):
     df = spark.createDataFrame([(1, "PAN ABCPD1234E"), (2, "nothing"), (3, None)], "id int, text string")
     got = [(r["text"], r["changed"]) for r in remediate_cells(df, "redact").orderBy("id").collect()]

@@ -144,6 +144,27 @@ def test_own_recognizer_as_pandas_udf(spark):
     assert [(f[2], f[3]) for f in found] == [("BADGE", "B-XX"), ("PAN", "XXXXX1234X")]
 
 
+def test_own_recognizer_with_a_test_keeps_the_gates(spark):
+    """The same findings as without a test, from a plan that drops other cells before they are normalised."""
+
+    def find(text):
+        hit = F.struct(F.lit("BADGE"), text, F.lit("B-XX"), F.lit("LOW"), F.lit(None).cast("map<string,string>"))
+        return F.when(text.rlike("B-[0-9]"), F.array(hit)).otherwise(F.array()).cast(MATCH_TYPE)
+
+    texts = ["B-7", "wide \uff22-\uff17", "x | B-1", "ABCPD1234E", "plain words", "", "B-x", "2345 6789 0124 B-2"]
+    df = cells(spark, *[("c", t, "") for t in texts])
+    found, plans = [], []
+    for test in (None, lambda text: text.contains("B-")):
+        registry = Registry()
+        registry.register("badge", find, test)
+        scanned = iv.scan_cells(df, registry=registry, dedup="cell")
+        found.append(plain(scanned))
+        plans.append(scanned._jdf.queryExecution().optimizedPlan().toString())
+    assert found[0] == found[1] and sum(f[2] == "BADGE" for f in found[0]) == 4
+    # Normalised text is filtered by the built-in shapes or the own test, and only with the test.
+    assert "Contains(clean#" in plans[1] and "Contains(clean#" not in plans[0]
+
+
 def test_detection_needs_no_shuffle_and_dedup_one(contacts):
     plan = iv.scan(contacts, row="r")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1

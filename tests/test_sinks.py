@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import idveil as iv
 from idveil.operators import rollups as ru
@@ -57,6 +58,15 @@ def test_sealed_findings(spark, findings, tmp_path):
     assert iv.decrypt_findings(sealed.where("false"), "x").count() == 0
 
 
+def test_datasets_sealed_under_two_salts_open_together(spark, findings):
+    once, twice = (iv.encrypt_findings(findings, "open sesame", bytes([i]) * 16) for i in (1, 2))
+    opened = iv.decrypt_findings(once.unionByName(twice), "open sesame")
+    assert sorted(map(tuple, opened.collect())) == sorted(2 * list(map(tuple, ru.report(findings).collect())))
+    foreign = twice.withColumn("format", F.lit("other"))
+    with pytest.raises(ValueError):
+        iv.decrypt_findings(once.unionByName(foreign), "open sesame")
+
+
 def test_feedback(spark):
     rows = [("FP", "IN_MOBILE", "Rs. 5000000000"), ("FN", "PAN", "ABC PD 5678 K"), ("fp", "aadhaar", "123456789012"),
             ("FN", "PAN", "nothing"), ("FP", "GSTIN", "27AAPFU0939F1ZV"), ("FP", "IFSC", "HDFC0001234"),
