@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idveil.functions.columns import as_col, strip
+from idveil.functions.text import may_hold_identifier
 from idveil.sources.tables import cell, present
 
+# Fixed value: bits in one bitmap of Spark's bitmap functions.
+_BITMAP_BITS = 32768
+#: Bitmaps of a row filter: at most 16 MB of 4 KB each, which are broadcast.
+FILTER_BITMAPS = 4096
+
 _LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
@@ -45,16 +51,35 @@ def sheet_value(value: Column | str, value_type: Column | str) -> Column:
     return F.when(text != "", text)
 
 
-def sheet_rows(cells: DataFrame) -> DataFrame:
+def _rows_of_candidates(texts: DataFrame, bitmaps: int) -> DataFrame:
+    """The cells whose row may hold an identifier, and few others.
+
+    Hashed row keys of candidate cells set bits of at most *bitmaps* bitmaps, so the filter's size is bounded whatever
+    the number of rows. A hash that meets another one's bit lets its row through, none is lost.
+    """
+    hashed = F.xxhash64("file", "sheet", "sheet_ord", "row")
+    bit = F.pmod(hashed, F.lit(bitmaps * _BITMAP_BITS))
+    keyed = texts.select("*", F.floor(bit / _BITMAP_BITS).cast("int").alias("_map"), (bit % _BITMAP_BITS).alias("_bit"))
+    maps = keyed.where(may_hold_identifier(F.col("t"))).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    hit = F.getbit(byte.cast("int"), (F.col("_bit") % 8).cast("int")) == 1
+    return keyed.join(F.broadcast(maps), "_map").where(hit).drop("_map", "_bit", "_bits")
+
+
+def sheet_rows(cells: DataFrame, only_candidates: bool = False, bitmaps: int = FILTER_BITMAPS) -> DataFrame:
     """Rows from ``(file, sheet, row, col_num, value, value_type)``, optionally ``sheet_ord``.
 
-    A sheet row is gathered by its own key; its width is bounded by the sheet format.
+    A sheet row is gathered by its own key; its width is bounded by the sheet format. ``only_candidates`` leaves out
+    rows that cannot yield a finding of a built-in recognizer before cells are gathered, so that the shuffle grows with
+    the candidates.
     """
     order = F.col("sheet_ord") if "sheet_ord" in cells.columns else F.lit(0)
     texts = cells.select(
         "file", "sheet", order.cast("int").alias("sheet_ord"), F.col("row").cast("bigint").alias("row"),
         F.col("col_num").cast("int").alias("n"), sheet_value("value", "value_type").alias("t"),
     ).where(F.col("t").isNotNull())
+    if only_candidates:
+        texts = _rows_of_candidates(texts, bitmaps)
     grouped = texts.groupBy("file", "sheet", "sheet_ord", "row").agg(
         F.array_sort(F.collect_list(F.struct("n", "t"))).alias("_cells")
     )

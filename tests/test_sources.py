@@ -220,6 +220,24 @@ def test_records_are_not_shuffled_for_their_numbers(spark, tmp_path):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_sheet_rows_of_candidates(spark):
+    """The same findings with their context as from all rows; other rows are gone before cells are gathered."""
+    cells = spark.range(6000).selectExpr(
+        "concat('f', id % 3) as file", "if(id % 2 = 0, 's', null) as sheet", "int(id % 1000) as row", "int(id / 1000) + 1 as col_num",
+        "case when id % 97 = 0 then 'ABCPD1234E' when id % 89 = 0 then null else concat('pan ', id) end as value", "'string' as value_type")
+    pick = ("file", "sheet", "row", "cells", "row_context")
+    whole = docs.sheet_rows(cells)
+    for bitmaps in (1, docs.FILTER_BITMAPS):
+        few = docs.sheet_rows(cells, only_candidates=True, bitmaps=bitmaps)
+        assert few.select(*pick).exceptAll(whole.select(*pick)).count() == 0
+        a, b = (sorted(map(tuple, scan_rows(x, dedup="cell").drop("position").collect()), key=str) for x in (whole, few))
+        assert a == b and len(a) == 62
+    assert few.count() < 0.05 * whole.count()
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("collect_list") < plan.index("bitmap_construct_agg") and "broadcast" in plan
+    assert docs.sheet_rows(cells.where("false"), only_candidates=True).count() == 0
+
+
 def test_sheet_cells(spark):
     rows = [("f", "S", 2, 28, "9876543210.0", "float"), ("f", "S", 2, 1, " pan ", "string"),
             ("f", "S", 2, 3, "true", "bool"), ("f", "S", 2, 4, "2024-01-01", "date"),
