@@ -19,13 +19,15 @@ from idveil.functions.recognizers import (
 )
 from idveil.functions.registry import RECOGNIZERS, Registry
 from idveil.functions.tokens import tokenize
-from idveil.operators.remediate import changed_cells, correlate, remediate, sanitize
+from idveil.operators.remediate import changed_cells, correlate, remediate, remediate_json, sanitize
+from idveil.plans.copies import PathCopies, remediate_path
 from idveil.plans.scan import ScanOptions, cell_mode, scan, scan_cells, scan_rows
 from idveil.plans.sources import scan_path, scan_tables
 from idveil.sinks.reports import write_csv, write_json, write_summary
 from idveil.sinks.sealed import decrypt_findings, encrypt_findings
 
 __all__ = [
+    "PathCopies",
     "RECOGNIZERS",
     "Registry",
     "ScanOptions",
@@ -46,6 +48,8 @@ __all__ = [
     "gstin_check_digit",
     "gstin_valid",
     "remediate",
+    "remediate_json",
+    "remediate_path",
     "sanitize",
     "scan",
     "scan_cells",

@@ -28,6 +28,7 @@ from idveil.functions.text import (
     split_multi_value,
 )
 from idveil.functions.tokens import TOKEN_CHARS, tokenize
+from idveil.sources.files import may_hold_in_json
 from idveil.sources.tables import INERT, text_of
 
 MODES = ("mask", "redact", "tokenize")
@@ -332,11 +333,17 @@ def _before_and_after(df: DataFrame, columns: list[str], how: _How) -> DataFrame
     return staged.select("*", _sanitize_all(df.sparkSession, how).alias("_clean"))
 
 
+def _changes() -> Column:
+    """How many of ``_texts`` differ in ``_clean``."""
+    return F.size(F.filter(F.zip_with("_texts", "_clean", lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
+
+
 def remediate(
     df: DataFrame,
     mode: str = "mask",
     columns: list[str] | None = None,
     observation: Observation | None = None,
+    count: str | None = None,
     **options,
 ) -> DataFrame:
     """Every cell of the table sanitised. Columns that may hold an identifier become text, as in a CSV copy.
@@ -344,22 +351,22 @@ def remediate(
     Columns of dates, times, flags and short numbers cannot hold one and stay as they are; a NaN stays ``NaN``.
 
     With an *observation*, the number of changed cells is counted in the same pass and
-    can be read from it (``changed_cells``) once the result has been written. Further
-    options are those of ``sanitize``.
+    can be read from it (``changed_cells``) once the result has been written; a column *count* holds the number per row.
+    Further options are those of ``sanitize``.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     wanted = list(columns) if columns is not None else df.columns
     names = [c for c in wanted if not isinstance(types[c], INERT)]
     both = _before_and_after(df, names, _how(mode, options))
+    changed = _changes()
     if observation is not None:
-        pairs = F.zip_with("_texts", "_clean", lambda a, b: ~a.eqNullSafe(b))
-        changed = F.size(F.filter(pairs, lambda x: x))
         both = both.observe(
             observation, F.coalesce(F.sum(changed), F.lit(0)).cast("bigint").alias("changed_cells")
         )
     at = {c: i for i, c in enumerate(names)}
     return both.select(
-        *[F.col("_clean")[at[c] + 1].alias(c) if c in at else F.col(f"`{c}`") for c in df.columns]
+        *[F.col("_clean")[at[c] + 1].alias(c) if c in at else F.col(f"`{c}`") for c in df.columns],
+        *([] if count is None else [changed.alias(count)]),
     )
 
 
@@ -386,6 +393,58 @@ def remediate_cells(cells: DataFrame, mode: str = "mask", text: str = "text", **
     return out.withColumns({"changed": changed, text: F.col("_clean")[0]}).drop("_texts", "_clean")
 
 
+def remediate_fields(records: DataFrame, mode: str = "mask", fields: str = "fields", **options) -> DataFrame:
+    """Records with an array of texts, each sanitised; ``changed`` is the number of those that differ."""
+    staged = records.withColumnRenamed(fields, "_texts")
+    out = staged.withColumn("_clean", _sanitize_all(records.sparkSession, _how(mode, options)))
+    return out.withColumns({"changed": _changes(), fields: F.col("_clean")}).drop("_texts", "_clean")
+
+
+# Stand-ins for an escaped backslash and quote, which JSON cannot hold as they are. Strings then end at the next quote.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+_JSON_TOKEN = r'("[^"]*+"|-?[0-9][0-9.eE+\-]*+|[^"0-9\-]++|-)'
+
+
+def _with_escapes(token: Column) -> Column:
+    return F.replace(F.replace(token, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+
+
+def _json_value(token: Column) -> Column:
+    """A string without quotes and escapes, a number as a scan reads it; null for all between them."""
+    text = F.from_json(F.concat(F.lit("["), _with_escapes(token), F.lit("]")), "array<string>")[0]
+    power = F.when(token.rlike("[eE]"), token.try_cast("double").cast("decimal(38,0)").cast("string"))
+    return F.when(F.startswith(token, F.lit('"')), text).when(token.rlike("^-?[0-9]"), F.coalesce(power, token))
+
+
+def remediate_json(df: DataFrame, mode: str = "mask", text: str = "text", **options) -> DataFrame:
+    """A column of JSON texts, sanitised value by value; ``changed`` tells which texts differ.
+
+    Strings and names are sanitised as they read without escapes, a changed number becomes a string, and all else stays as
+    it is written. A text that Spark's parser refuses (no JSON, or a name twice in one object) is sanitised as text.
+    """
+    none = F.array().cast("array<string>")
+    raw = F.col(text)
+    marked = F.replace(F.replace(raw, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    pieces = F.regexp_extract_all(marked, F.lit(_JSON_TOKEN), F.lit(1))
+    plain = ~raw.contains(_BACKSLASH) & ~raw.contains(_QUOTE)
+    parses = plain & F.try_parse_json(raw).isNotNull()
+    # Only texts that may hold an identifier are parsed and taken apart.
+    staged = df.withColumn("_tokens", F.when(may_hold_in_json(raw), F.when(parses, pieces).otherwise(none)))
+    values = F.when(F.size("_tokens") == 0, F.array(raw)).otherwise(F.transform("_tokens", _json_value))
+    staged = staged.withColumn("_texts", F.coalesce(F.when(F.col("_tokens").isNotNull(), values), none))
+    staged = staged.withColumn("_clean", _sanitize_all(df.sparkSession, _how(mode, options)))
+
+    def put(token: Column, i: Column) -> Column:
+        before, after = F.get("_texts", i), F.get("_clean", i)
+        written = F.to_json(F.array(after))
+        return F.when(before.eqNullSafe(after), _with_escapes(token)).otherwise(F.substr(written, F.lit(2), F.length(written) - 2))
+
+    joined = F.array_join(F.transform("_tokens", put), "")
+    done = F.when(_changes() == 0, raw).when(F.size("_tokens") == 0, F.col("_clean")[0]).otherwise(joined)
+    out = staged.withColumn("_done", done).withColumn("changed", ~raw.eqNullSafe(F.col("_done")))
+    return out.withColumn(text, F.col("_done")).drop("_tokens", "_texts", "_clean", "_done")
+
+
 # A whole text document is one cell.
 remediate_documents = remediate_cells
 
@@ -447,5 +506,7 @@ __all__ = [
     "remediate",
     "remediate_cells",
     "remediate_documents",
+    "remediate_fields",
+    "remediate_json",
     "sanitize",
 ]

@@ -116,7 +116,7 @@ def _records(frames: Iterator[pd.DataFrame], separator: str, blank_counts: bool)
 def delimited_records(
     lines: DataFrame, separator: str, blank_counts: bool, splits: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Records (_file, _row, fields) and heads (_file, head, _head_row) of tagged lines.
+    """Records (_file, _block, _row, fields; the block is where a record begins) and heads (_file, head, _head_row) of tagged lines.
 
     Records are numbered from 1 per file; empty lines are no records, and count only with *blank_counts*. The head is
     the first record that is not empty. A quoted field that is never closed ends with its file.
@@ -156,19 +156,19 @@ def delimited_records(
     cut = joined.select("_file", "_block", "value", "inside", "before").mapInPandas(
         lambda frames: _records(frames, separator, blank_counts), record
     )
-    whole = cut.where("fields IS NOT NULL").select("_file", "_row", "fields")
+    whole = cut.where("fields IS NOT NULL").select("_file", "_block", "_row", "fields")
     crossing = (
         cut.where("part IS NOT NULL")
         .groupBy("_file", "_row")
         .agg(F.sort_array(F.collect_list(F.struct("_block", "part"))).alias("parts"))
-        .select("_file", "_row", F.array_join("parts.part", "\n").alias("text"))
+        .select("_file", F.col("parts")[0]["_block"].alias("_block"), "_row", F.array_join("parts.part", "\n").alias("text"))
     )
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f[["_file", "_row"]].assign(fields=[fields_of(t, separator) for t in f["text"]])
+            yield f[["_file", "_block", "_row"]].assign(fields=[fields_of(t, separator) for t in f["text"]])
 
-    crossing = crossing.mapInPandas(parsed, "_file string, _row long, fields array<string>")
+    crossing = crossing.mapInPandas(parsed, "_file string, _block long, _row long, fields array<string>")
     heads = composed.select("_file", F.filter("all", lambda x: x["head"].isNotNull())[0]["head"].alias("text"))
 
     def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

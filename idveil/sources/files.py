@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -75,14 +76,19 @@ def _reader(spark: SparkSession, *suffixes: str):
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
 
 
-def _plain(path: Column) -> Column:
+def plain_path(path: Column) -> Column:
     """Local files by their plain path; other file systems by their address."""
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def plain_text(path: str) -> str:
+    """The same for a path that is known now."""
+    return re.sub("^file:/+", "/", path)
+
+
 def _row(file: Column, row: Column, cells: Column, context: Column) -> list[Column]:
     return [
-        _plain(file).alias("file"),
+        plain_path(file).alias("file"),
         F.lit(None).cast("string").alias("sheet"),
         F.lit(0).alias("sheet_ord"),
         row.cast("bigint").alias("row"),
@@ -91,15 +97,27 @@ def _row(file: Column, row: Column, cells: Column, context: Column) -> list[Colu
     ]
 
 
+def lines_of(spark: SparkSession, path: str, *suffixes: str, whole: bool = False) -> DataFrame:
+    """Lines (*whole*: texts) of the files with these suffixes: value, _file, _block, _id (increasing in a split)."""
+    return tagged(_reader(spark, *suffixes).text(path, wholetext=whole))
+
+
 # --- delimited files ---------------------------------------------------------------
+def _unmarked(lines: DataFrame) -> DataFrame:
+    """A mark at the start of a file is no part of its first name."""
+    return lines.withColumn("value", F.when(F.col("_block") == 0, F.regexp_replace("value", _BOM, "")).otherwise(F.col("value")))
+
+
+def delimited_files(spark: SparkSession, path: str, suffix: str, separator: str, splits: int | None = None) -> DataFrame:
+    """All records of delimited files, heads included: _file, _block (where the record begins), _row, fields."""
+    return delimited_records(_unmarked(lines_of(spark, path, suffix)), separator, False, splits)[0]
+
+
 def _delimited(
     spark: SparkSession, path: str, suffix: str, separator: str, blank_counts: bool, splits: int | None
 ) -> DataFrame:
     """Records after the head of each file: _file, _row, fields, head."""
-    lines = tagged(_reader(spark, suffix).text(path))
-    # A mark at the start of a file is no part of its first name.
-    lines = lines.withColumn("value", F.when(F.col("_block") == 0, F.regexp_replace("value", _BOM, "")).otherwise(F.col("value")))
-    records, heads = delimited_records(lines, separator, blank_counts, splits)
+    records, heads = delimited_records(_unmarked(lines_of(spark, path, suffix)), separator, blank_counts, splits)
     first = records.groupBy("_file").agg(F.min("_row").alias("_head_row")) if blank_counts else None
     joined = records.join(heads, "_file", "left").withColumn("head", F.coalesce("head", F.array().cast("array<string>")))
     if first is None:
@@ -322,7 +340,7 @@ def parquet_rows(
     for df in frames:
         placed = df.select(
             "*",
-            _plain(F.col("_metadata.file_path")).alias("_file"),
+            plain_path(F.col("_metadata.file_path")).alias("_file"),
             (F.col("_metadata.row_index") + 1).alias("_at"),
         )
         rows = table_rows(placed, F.col("_file"), None, F.col("_at"), df.columns, only_candidates=only_candidates)

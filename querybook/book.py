@@ -14,7 +14,7 @@ from idveil.functions import text as tx
 from idveil.functions.registry import Registry
 from idveil.operators import evaluate as ev
 from idveil.operators import rollups as ru
-from idveil.operators.remediate import remediate_cells
+from idveil.operators.remediate import remediate_cells, remediate_json
 from idveil.plans.spread import spread
 from idveil.sources import documents as docs
 from idveil.sources import files as fs
@@ -1015,6 +1015,22 @@ def _(spark, sf):
     return out.select("doc_id", "changed", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "remediate_json",
+    f"""
+with {d.findings_sql(d.DOCUMENT_CELLS, masked=False)},
+{d.without_values_sql()}
+select doc_id, clean is distinct from text as changed, md5(clean) as text_md5, doc_id as kept_id from cleaned
+""",
+)
+def _(spark, sf):
+    """Whole documents as JSON records, sanitised as JSON and read again."""
+    packed = F.to_json(F.struct("doc_id", F.array(F.struct("text")).alias("parts"))).alias("record")
+    out = remediate_json(spread(table(spark, sf, "documents")).select("doc_id", packed), "redact", "record")
+    text = F.from_json("record", "doc_id long, parts array<struct<text:string>>")
+    return out.select("doc_id", "changed", F.md5(text["parts"][0]["text"]).alias("text_md5"), text["doc_id"].alias("kept_id"))
+
+
 @query(
     "remediate_sheet",
     with_people(
