@@ -71,17 +71,21 @@ def scan_tables(
     source: str | None = None,
     keys: dict[str, str] | None = None,
     options: ScanOptions | None = None,
+    positions: bool | None = None,
     **changes,
 ) -> DataFrame:
     """Findings in all tables of a catalog schema, or in the given ones, as one source.
 
-    A value counts once for the whole database. ``tables`` may come from ``jdbc_tables``.
+    A value counts once for the whole database. ``tables`` may come from ``jdbc_tables``. Rows of Parquet tables without
+    a key are numbered from 1 by their position; of given tables only with ``positions=True``, as these must be whole.
     """
     o = options or ScanOptions(**changes)
+    if positions is None:
+        positions = tables is None
     if tables is None:
         if database is None:
             raise ValueError("give a database or tables")
         tables = catalog_tables(spark, database)
     name = source or database or "database"
-    rows = database_rows(tables, name, keys, only_candidates=o.settings().gated)
+    rows = database_rows(tables, name, keys, only_candidates=o.settings().gated, positions=positions)
     return scan_rows(rows, o)

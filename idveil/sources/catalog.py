@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from idveil.sources.numbering import table_positions
 from idveil.sources.tables import table_rows
 
 FETCH_SIZE = 500
+PLACE = "_table_row"
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -17,24 +19,29 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def database_rows(
     tables: dict[str, DataFrame], source: str, keys: dict[str, str] | None = None,
-    only_candidates: bool = False,
+    only_candidates: bool = False, positions: bool = False,
 ) -> DataFrame:
     """Rows of several tables as one source: ``sheet`` is the table name.
 
-    ``keys`` names the numbering column of a table; others get increasing numbers.
+    ``keys`` names the numbering column of a table. Of the others, those kept in Parquet files are numbered from 1 by
+    position if ``positions`` is set, which asks for whole tables (``table_positions``); the rest get increasing numbers.
     """
     if not tables:
         raise ValueError(f"no tables found in {source}")
     keys = keys or {}
-    return _union(
-        [
-            table_rows(
-                df, source, name, keys.get(name), columns=df.columns, sheet_ord=i,
-                only_candidates=only_candidates,
-            )
-            for i, (name, df) in enumerate(tables.items())
-        ]
-    )
+
+    def rows(ordinal: int, name: str, df: DataFrame) -> DataFrame:
+        number, placed = keys.get(name), None
+        if number is None and positions:
+            placed = table_positions(df, PLACE)
+        if placed is not None:
+            number = PLACE
+        return table_rows(
+            df if placed is None else placed, source, name, number, columns=df.columns, sheet_ord=ordinal,
+            only_candidates=only_candidates,
+        )
+
+    return _union([rows(i, name, df) for i, (name, df) in enumerate(tables.items())])
 
 
 def catalog_tables(spark: SparkSession, database: str) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ splits of a file give the rest. No file is read by a single task and no record i
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,3 +69,22 @@ def numbered(records: DataFrame, offsets: DataFrame, splits: int | None = None)
     joined = records.join(offsets, ["_file", "_block"])
     row = F.col("_before") + F.col("_id") - F.col("_first_id") + 1
     return joined.select("*", row.alias("_row"))
+
+
+def table_positions(df: DataFrame, name: str) -> DataFrame | None:
+    """Rows of a Parquet table with their position *name*: from 1, file after file in the order of their paths, whatever
+    the splits and partitions. None if *df* is not read from Parquet files.
+
+    For a table, or some of its columns; not for rows that were filtered, joined or exploded before. A count per
+    file, which Spark takes from the footers, is all that is gathered; no row is moved for it.
+    """
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException:
+        return None
+    files = len(df.inputFiles())
+    counts = df.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)  # one line per file
+    before = counts.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = placed.join(F.broadcast(before) if files <= MAX_BROADCAST_SPLITS else before, "_file")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_index") + 1).alias(name))

@@ -202,6 +202,26 @@ def _(spark, sf):
     return found.select("sheet", "row", "column", "entity_type", "masked_value")
 
 
+POSITIONED = """
+cells as (
+  select 'db' as file, n as r, 0 as ord, 'text' as col, trim(text) as t, text as ctx
+  from (select text, row_number() over () as n from documents) u where trim(text) <> ''
+)
+"""
+
+
+@query(
+    "scan_database_positions",
+    f"with {d.findings_sql(POSITIONED)} "
+    'select \'documents\' as sheet, cast(row as bigint) as "row", entity_type, masked_value from findings',
+)
+def _(spark, sf):
+    """A table without a key, as a database: its rows are numbered by position, whatever the splits."""
+    texts = table(spark, sf, "documents").select("text")
+    found = iv.scan_tables(spark, tables={"documents": texts}, source="db", positions=True)
+    return found.select("sheet", "row", "entity_type", "masked_value")
+
+
 # --- reshape ------------------------------------------------------------------------------
 @query(
     "unpivot_cells",

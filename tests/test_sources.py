@@ -9,7 +9,8 @@ from idveil.plans.scan import scan_rows
 from idveil.plans.sources import path_rows
 from idveil.sources import documents as docs
 from idveil.sources import files as fs
-from idveil.sources.catalog import catalog_tables
+from idveil.sources.catalog import catalog_tables, database_rows
+from idveil.sources.numbering import table_positions
 from idveil.sources.tables import cell_rows, explode_cells, table_rows
 
 
@@ -284,6 +285,27 @@ def test_database(spark, tmp_path):
     spark.sql("drop database hr")
 
 
+def test_rows_of_a_database_without_keys(spark, tmp_path, split_small):
+    spark.sql("create database if not exists plain")
+    made = spark.range(3000, numPartitions=5).select(F.concat(F.lit("ABCPD"), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit("E")).alias("pan"), "id")
+    made.write.mode("overwrite").option("path", str(tmp_path / "a")).saveAsTable("plain.a")
+    made.limit(2).coalesce(1).write.mode("overwrite").format("csv").option("path", str(tmp_path / "b")).saveAsTable("plain.b")
+    files = sorted(str(p) for p in (tmp_path / "a").glob("*.parquet"))
+    assert len(files) == 5
+    want = {r["pan"]: n for n, r in enumerate((r for f in files for r in spark.read.parquet(f).collect()), 1)}
+    for bytes_, cores in (("1k", 3), ("1g", 200)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+        spark.conf.set("spark.sql.shuffle.partitions", cores)
+        found = iv.scan_tables(spark, "plain", entities=["PAN"], masked=False).select("sheet", "row", "column")
+        assert sorted(r["row"] for r in found.collect()) == list(range(1, 3001))
+    rows = database_rows({"a": spark.table("plain.a")}, "plain", positions=True)
+    got = {r["text"]: r["row"] for r in explode_cells(rows).where("ord = 0").collect()}
+    assert got == want
+    assert table_positions(spark.table("plain.b"), "n") is None and table_positions(spark.range(3).toDF("x"), "n") is None
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.sql("drop database plain cascade")
+
+
 def test_cells_of_a_table_keep_their_order(spark):
     df = spark.createDataFrame([(7, " a ", None, "c")], "r int, z string, y string, x string")
     assert cells_of(table_rows(df, row="r")) == [(7, "z", "a"), (7, "x", "c")]
