@@ -33,13 +33,16 @@ def let(value: Column, body) -> Column:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (one of our own where it is unset): computed once,
-    cut from its lineage, and safe from lost executors. The folder's owner clears it, as with checkpoints."""
+    """df as a table in the folder that spark.checkpoint.dir names: computed once, cut from its lineage, and safe from
+    lost executors. The folder's owner clears it, as with checkpoints. Where the setting is unset, a local session makes a
+    folder of its own; a cluster, whose executors would not see that, is refused."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="idveil-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/idveil-{uuid.uuid4().hex}"
