@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -222,6 +224,56 @@ def _(spark, sf):
     return found.select("sheet", "row", "entity_type", "masked_value")
 
 
+# --- files --------------------------------------------------------------------------------
+def as_files(df, suffix: str, separator: str) -> str:
+    """The table as delimited files with headers, in a new folder of the shared one; its owner clears that."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="idveil-")
+    folder = f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+    out = spread(df).write.option("header", True).option("escape", '"').option("sep", separator)
+    out.option("extension", suffix).csv(folder)
+    return folder
+
+
+def noted_customers(spark, sf):
+    """Texts with quotes, separators and line breaks, and empty ones."""
+    note = F.concat(F.lit('"'), F.col("c_name"), F.lit('", of\t'), F.col("c_mktsegment"), F.lit("\nand 98765"), F.lpad(F.col("c_custkey").cast("string"), 5, "0"))
+    segment = F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment"))
+    return table(spark, sf, "customer").select("c_custkey", note.alias("note"), segment.alias("segment"))
+
+
+NOTED = """
+with noted as (
+  select cast(c_custkey as varchar) as k,
+         '"' || c_name || '", of' || chr(9) || c_mktsegment || chr(10) || 'and 98765' || right('00000' || cast(c_custkey as varchar), 5) as note,
+         case when c_custkey % 3 > 0 then c_mktsegment end as segment
+  from customer
+), rows as (select *, k || ' ' || note || coalesce(' ' || segment, '') as row_context from noted)
+select 0 as ord, 'c_custkey' as "column", k as text, row_context from rows
+union all select 1, 'note', note, row_context from rows
+union all select 2, 'segment', segment, row_context from rows where segment is not null
+"""
+
+
+def file_cells(rows):
+    return tb.explode_cells(rows.where(F.col("row") > 1)).select("ord", "column", "text", "row_context")
+
+
+@query("csv_records", NOTED)
+def _(spark, sf):
+    """A table written as CSV files and read as cells again; nothing is lost at quotes, separators and line breaks."""
+    return file_cells(fs.csv_rows(spark, as_files(noted_customers(spark, sf), "csv", ",")))
+
+
+@query("tsv_records", NOTED)
+def _(spark, sf):
+    return file_cells(fs.tsv_rows(spark, as_files(noted_customers(spark, sf), "tsv", "\t")))
+
+
 # --- reshape ------------------------------------------------------------------------------
 @query(
     "unpivot_cells",
