@@ -18,6 +18,7 @@ from idveil.operators import evaluate as ev
 from idveil.operators import rollups as ru
 from idveil.operators.remediate import remediate_cells, remediate_json
 from idveil.plans.spread import spread
+from idveil.sinks.reports import write_csv, write_json
 from idveil.sources import documents as docs
 from idveil.sources import files as fs
 from idveil.sources import tables as tb
@@ -40,6 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder of the shared one, whose owner clears it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="idveil-")
+    return f"{root.rstrip('/')}/book-{uuid.uuid4().hex}"
+
+
 def with_people(select: str) -> str:
     return f"with {d.PEOPLE}\n{select}"
 
@@ -226,14 +237,8 @@ def _(spark, sf):
 
 # --- files --------------------------------------------------------------------------------
 def as_files(df, suffix: str, separator: str) -> str:
-    """The table as delimited files with headers, in a new folder of the shared one; its owner clears that."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="idveil-")
-    folder = f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """The table as delimited files with headers."""
+    folder = new_folder(df.sparkSession)
     out = spread(df).write.option("header", True).option("escape", '"').option("sep", separator)
     out.option("extension", suffix).csv(folder)
     return folder
@@ -293,15 +298,53 @@ def _(spark, sf):
     return rows.select("row", tb.row_context().alias("row_context"))
 
 
+REPORT_COLUMNS = ("file", "sheet", "row", "column", "entity_type", "masked_value", "confidence")
+REPORT = findings_sql(
+    "select file, '' as sheet, cast(row as varchar) as \"row\", \"column\", entity_type, masked_value, "
+    "confidence from findings"
+)
+
+
+@query("report_columns", REPORT)
+def _(spark, sf):
+    return ru.report(scan_people(spark, sf))
+
+
+@query("report_csv", REPORT)
+def _(spark, sf):
+    """The CSV report, written and read again; it holds empty texts, no nulls."""
+    folder = new_folder(spark)
+    write_csv(scan_people(spark, sf), folder)
+    return spark.read.option("header", True).option("nullValue", "\\N").csv(f"{folder}/findings").select(*REPORT_COLUMNS)
+
+
+@query("report_json", REPORT)
+def _(spark, sf):
+    folder = new_folder(spark)
+    write_json(scan_people(spark, sf), folder)
+    return spark.read.json(f"{folder}/findings").select(*REPORT_COLUMNS)
+
+
 @query(
-    "report_columns",
+    "report_json_summary",
     findings_sql(
-        "select file, '' as sheet, cast(row as varchar) as \"row\", \"column\", entity_type, masked_value, "
-        "confidence from findings"
+        """
+, kinds as (select entity_type, count(*) as n from findings group by 1),
+ranked as (select file, count(*) as n from findings group by 1 order by n desc, file limit 10)
+select (select count(*) from findings) as total_findings,
+       (select string_agg(entity_type || '=' || n, ';' order by entity_type) from kinds) as kinds,
+       (select string_agg(file || '=' || n, ';' order by n desc, file) from ranked) as files"""
     ),
 )
 def _(spark, sf):
-    return ru.report(scan_people(spark, sf))
+    """The summary beside the JSON report: findings, kinds and top files."""
+    folder = new_folder(spark)
+    write_json(scan_people(spark, sf), folder)
+    kinds = "map<string,bigint>"
+    one = spark.read.schema(f"total_findings bigint, by_entity_type {kinds}, top_files array<struct<file:string,count:bigint>>").json(f"{folder}/summary")
+    by_kind = F.transform(F.array_sort(F.map_entries("by_entity_type")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    by_file = F.transform("top_files", lambda e: F.concat(e["file"], F.lit("="), e["count"].cast("string")))
+    return one.select("total_findings", F.array_join(by_kind, ";").alias("kinds"), F.array_join(by_file, ";").alias("files"))
 
 
 @query(
