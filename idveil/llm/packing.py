@@ -26,6 +26,8 @@ SEQUENCE_TOKENS = 2048
 END_ID = 0
 #: Chunks in each of the two generations whose ids a worker remembers.
 REMEMBERED = 400_000
+#: Words that the tokenizer is given as one text.
+LINE = 100
 #: Rows of a length that are numbered together.
 RANK_BLOCK = 10_000
 
@@ -103,6 +105,42 @@ def plan_slots(counts: dict[int, int], capacities: Capacities) -> pd.DataFrame:
 
 
 _TOKENIZERS: dict[str, list] = {}  # tokenizer, ids by chunk: of the present generation, of the one before
+_ENDS: dict[str, np.ndarray | None] = {}  # which ids end a word
+
+
+def _word_ends(path: str, tokenizer) -> np.ndarray | None:
+    """Which ids end a word, where the tokenizer marks that and spells every byte; else None."""
+    if path not in _ENDS:
+        mark = getattr(tokenizer.model, "end_of_word_suffix", None)
+        ids = tokenizer.get_vocab(with_added_tokens=False)
+        ends = {t: i for t, i in ids.items() if mark and t.endswith(mark)}
+        _ENDS[path] = None
+        if sum(len(t) == 1 + len(mark) for t in ends) >= 256:
+            _ENDS[path] = np.zeros(1 + max(tokenizer.get_vocab().values()), bool)
+            _ENDS[path][list(ends.values())] = True
+    return _ENDS[path]
+
+
+def _line_ids(path: str, tokenizer, words: list[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
+    """The ids of words of letters, which the tokenizer is given many at a time, and the words that are to be encoded alone.
+
+    A word of letters has one end or more among its ids. A text with as many ends as words has one end in each.
+    """
+    ends = _word_ends(path, tokenizer)
+    if ends is None:
+        return {}, words
+    out, alone = {}, []
+    lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
+    found = tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)
+    for line, encoded in zip(lines, found):
+        ids = np.array(encoded.ids, "<u4")
+        stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(stops) != len(line):
+            alone += line
+            continue
+        raw = ids.tobytes()
+        out.update((w, raw[a:b]) for w, a, b in zip(line, [0, *stops], stops))
+    return out, alone
 
 
 def _chunk_ids(path: str, chunks: set[bytes]) -> dict[bytes, bytes]:
@@ -119,10 +157,18 @@ def _chunk_ids(path: str, chunks: set[bytes]) -> dict[bytes, bytes]:
     if len(young) > REMEMBERED:
         young, old = {}, young
         _TOKENIZERS[path][1:] = [young, old]
-    missing = chunks - young.keys()
-    known = missing & old.keys()
-    young.update((c, old[c]) for c in known)
-    missing = list(missing - known)
+    missing = []
+    for c in chunks:
+        if c not in young:
+            if c in old:
+                young[c] = old[c]
+            else:
+                missing.append(c)
+    words, missing = _parted(missing)
+    for at in range(0, len(words), 20_000):
+        found, alone = _line_ids(path, tokenizer, words[at : at + 20_000])
+        young.update(found)
+        missing += alone
     for at in range(0, len(missing), 20_000):
         part = missing[at : at + 20_000]
         found = tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
@@ -131,16 +177,26 @@ def _chunk_ids(path: str, chunks: set[bytes]) -> dict[bytes, bytes]:
     return young
 
 
-#: Stops that end a chunk after a letter: the tokenizer parts them from the word before merging.
-_STOPS = re.compile(rb"(?<=[a-z])[.,;:!?]+(?=[\x20\x09-\x0D]|\Z)")
+def _parted(chunks: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Chunks of letters alone, and the others."""
+    words, others = [], []
+    for c in chunks:
+        (words if c.decode().isalpha() else others).append(c)
+    return words, others
+
+
+#: Signs that end a chunk after a letter: the tokenizer parts them from the word before merging.
+_SIGNS = re.compile(
+    rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*+(?![^\x20\x09-\x0D])"
+)
 
 
 def _chunks(text: str) -> list[bytes]:
-    """The white-space-free chunks of a text, stops apart from words. The tokenizer lower-cases and drops white space, and
+    """The white-space-free chunks of a text, signs at their ends apart from words. The tokenizer lower-cases and drops white space, and
     merges within runs of letters or of other signs, so the ids of a text are those of its chunks in order. Special
     tokens are told by case, so a text that may hold one keeps its case."""
     raw = text.encode()
-    return (raw if b"<|" in raw else _STOPS.sub(rb" \g<0>", raw.lower())).split()
+    return (raw if b"<|" in raw else _SIGNS.sub(rb" \g<0>", raw.lower())).split()
 
 
 def tokenise(
@@ -164,9 +220,9 @@ def tokenise(
             for at in range(0, len(frame), 500):
                 part = frame[at : at + 500]
                 texts = [_chunks(t) for t in part["text"]]
-                known = _chunk_ids(tokenizer_path, {c for t in texts for c in t})
+                known = _chunk_ids(tokenizer_path, set().union(*texts))
                 for doc_id, chunks in zip(part["doc_id"], texts):
-                    ids = b"".join([known[c] for c in chunks]) + end
+                    ids = b"".join(map(known.__getitem__, chunks)) + end
                     for piece, start in enumerate(range(0, len(ids), 4 * tokens)):
                         own = ids[start : start + 4 * tokens]
                         row = (doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own))

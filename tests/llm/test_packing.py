@@ -93,3 +93,21 @@ def test_clashing_names(spark):
     check(packed.collect(), packing.Capacities())
     with pytest.raises(ValueError, match="offset"):
         packing.pack(pieces.withColumnRenamed("__rank", "offset"))
+
+
+def test_signs_at_the_ends_of_words_make_no_new_words():
+    words = ["lami", "café", "ÀÉx"]
+    text = " ".join(w + sign for w in words for sign in ["", "###", ".%%%", "&", "',", "?!"])
+    assert {c for c in packing._chunks(text) if c.decode()[0].isalpha()} == {"lami".encode(), "café".encode(), "ÀÉx".encode()}
+    assert packing._chunks("x×, …, é\u0301, 1,") == ["x×,".encode(), "…,".encode(), "é\u0301,".encode(), b"1,"]
+
+
+def test_words_of_letters_are_encoded_in_lines():
+    """One text for many words; a line where a word is more than one to the tokenizer is encoded word by word."""
+    tokenizer = tokenizers.Tokenizer.from_file(PATH)
+    words = [f"l{a}m{b}".encode() for a in "aeiouäéß" for b in "aeiouñø日"]
+    found, alone = packing._line_ids(PATH, tokenizer, words)
+    assert not alone and found.keys() == set(words)
+    for w, ids in found.items():
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(w.decode(), add_special_tokens=False).ids
+    assert packing._line_ids(PATH, tokenizer, ["x".encode(), "İx".encode()]) == ({}, ["x".encode(), "İx".encode()])
