@@ -30,8 +30,9 @@ from idveil.llm.common import pair, table, written
 #: Pieces beyond D + 1, and more for each unit of D. As many may be left out of the buckets: light pieces say little.
 SPARE, SPARE_SHARE = 2, 0.08
 #: Bits of a sketch per shingle, at least: of those that are compared, and of those that are cut into pieces, where many
-#: bits make the pieces of different sets differ.
-BITS_PER_SHINGLE, KEY_BITS_PER_SHINGLE = 4, 32
+#: bits make the pieces of different sets differ, also those with one shingle only. The latter are never laid out: only the
+#: places of their set bits are made.
+BITS_PER_SHINGLE, KEY_BITS_PER_SHINGLE = 4, 4096
 #: Folds (halvings) of the sketches that are compared in blocks; about one bit per shingle is left.
 COARSE_FOLDS = 2
 #: Representatives of a bucket that are compared in one block.
@@ -110,6 +111,12 @@ def _sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
     return (np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)
 
 
+def _set_bits(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The places of the bits that _sketch sets, in order, however many bits there are."""
+    places, times = np.unique(shingles & np.uint64(bits - 1), return_counts=True)
+    return places[(times & 1).astype(bool)]
+
+
 def piece_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """Bucket keys of a set: its own band, and the one below, where it meets smaller sets."""
     band, keys = bands.of(len(shingles)), []
@@ -119,7 +126,7 @@ def piece_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         bits, pieces, spare = bands.shape(join)
         if not pieces:  # no two different sets of these sizes are near enough
             continue
-        set_bits = np.flatnonzero(_sketch(shingles, bits)).astype(np.uint64)
+        set_bits = _set_bits(shingles, bits)
         piece = (set_bits * np.uint64(pieces) // np.uint64(bits)).astype(np.int64)
         weight = np.bincount(piece, minlength=pieces)
         key = np.zeros(pieces, np.uint64)
@@ -321,12 +328,14 @@ def _near_pairs(pairs: DataFrame, profiles: DataFrame, percent: int, sketch: str
 
 
 def _open_pairs(shared: DataFrame, profiles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs of a bucket that no link connects yet, where their sketches allow a link. Compared block by block."""
+    """(u, v): pairs of a bucket of three or more that no link connects yet, where their sketches allow a link. Compared block by block."""
     rows = shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component")
     )
     size = F.count(F.lit(1)).alias("size")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), size).where("a <> b")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), size)
+    # One of each bucket is the hub, which was compared with all others: two alone have nothing left to compare.
+    mixed = mixed.where("a <> b AND size > 2")
     rows = rows.join(mixed.select("key", "size"), "key").join(
         profiles.selectExpr("doc_id AS rep", "n", "coarse AS sketch"), "rep"
     )

@@ -99,3 +99,23 @@ def test_components_of_a_long_chain(spark):
     links = [(min(a, b), max(a, b)) for a, b in zip(order, order[1:])] + [(900, 901)]
     got = {r["id"]: r["component"] for r in j.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 0 for i in order} | {900: 900, 901: 900}
+
+
+def test_unlike_sets_do_not_meet():
+    """Pieces with one shingle only differ too; the places of set bits are those of the sketch that is laid out."""
+    rng = np.random.default_rng(6)
+    bands = j.Bands(80)
+    sets = [np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(300)]
+    keys = np.concatenate([np.unique(j.piece_keys(s, bands)) for s in sets])
+    assert len(keys) - len(np.unique(keys)) < 100
+    for bits in (64, 1024):
+        assert (j._set_bits(sets[0], bits) == np.flatnonzero(j._sketch(sets[0], bits))).all()
+
+
+def test_buckets_of_two_are_not_compared_again(spark):
+    """The hub of a bucket has met all others; pairs of other members are still open."""
+    profiles = j._profiles(spark.createDataFrame([(i, f"a b c d e f g {i}") for i in range(5)], "doc_id long, text string"), 50, 1)
+    shared = spark.createDataFrame([(1, 0), (1, 1), (2, 2), (2, 3), (2, 4)], "key long, rep long")
+    labels = spark.createDataFrame([], "id long, component long")
+    got = {(r["u"], r["v"]) for r in j._open_pairs(shared, profiles, labels, 50).collect()}
+    assert got == {(2, 3), (2, 4), (3, 4)}
