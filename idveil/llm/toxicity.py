@@ -161,6 +161,15 @@ def units(text: str) -> list[str]:
     return out + more
 
 
+def _spelt(words: list[str], kinds: np.ndarray) -> list[str]:
+    """The runs that units() finds in a text of these words, by the kind of each word's unit: 0 empty, 1 one character, 2 more."""
+    at = np.flatnonzero(kinds)
+    alone = np.concatenate([[0], kinds[at] == 1, [0]])
+    edges = np.flatnonzero(np.diff(alone))
+    runs = zip(edges[::2].tolist(), edges[1::2].tolist())
+    return ["".join(unit(words[i]) for i in at[a:b]) for a, b in runs if b - a > 2]
+
+
 def _features(decisions: np.ndarray) -> tuple[float, float, float]:
     """Of a document: its worst word, its second worst occurrence, the logarithm of how many are on the toxic side."""
     if not len(decisions):
@@ -179,13 +188,13 @@ def _document_features(rows: DataFrame, model: Toxicity, keep: str) -> DataFrame
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = Toxicity(*shared.value, np.zeros(0))
         place: dict[str, int] = {}
-        value, single = np.zeros(0, np.float32), np.zeros(0, bool)
+        value, kind = np.zeros(0, np.float32), np.zeros(0, np.int8)
         for f in frames:
             for at in range(0, len(f), 500):
                 part = f[at : at + 500]
                 texts = [t.split() for t in part["text"]]
                 if len(place) > REMEMBERED:
-                    place, value, single = {}, value[:0], single[:0]
+                    place, value, kind = {}, value[:0], kind[:0]
                 new = list({w for t in texts for w in t if w not in place})
                 for i in range(0, len(new), 20_000):
                     some = [unit(w) for w in new[i : i + 20_000]]
@@ -197,19 +206,16 @@ def _document_features(rows: DataFrame, model: Toxicity, keep: str) -> DataFrame
                         got[other] = np.maximum(got[other], machine.words([joined[k] for k in other]))
                     empty = np.array([not u for u in some], bool)
                     value = np.append(value, np.where(empty, -9.0, got).astype(np.float32))
-                    single = np.append(single, np.array([len(u) == 1 for u in some], bool))
+                    kind = np.append(kind, np.array([min(len(u), 2) for u in some], np.int8))
                 for w in new:
                     place[w] = len(place)
                 rows_ = []
                 for words in texts:
                     ids = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
                     decisions = value[ids]
-                    alone = single[ids]
-                    if alone.sum() > 2:
-                        spelt = [u for u in units(" ".join(words)) if len(u) > 2]
-                        more = spelt[len([w for w in words if len(unit(w)) > 2]) :]
-                        if more:
-                            decisions = np.append(decisions, machine.words(more))
+                    kinds = kind[ids]
+                    if np.count_nonzero(kinds == 1) > 2 and (more := _spelt(words, kinds)):
+                        decisions = np.append(decisions, machine.words(more))
                     rows_.append(_features(decisions[decisions > -9.0]))
                 out = pd.DataFrame(rows_, columns=["worst", "second", "many"])
                 for name in reversed(names):

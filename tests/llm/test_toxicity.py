@@ -76,3 +76,13 @@ def test_nothing_to_learn(corpus, empty):
         model = t.learn(docs, some)
         assert len({r["score"] for r in t.score(docs, model, F.lit(True)).collect()}) == 1
     t.learn(empty, labels)
+
+
+def test_spelt_runs_without_taking_words_apart_again():
+    """The runs of single characters, from the kinds of the words alone: as units() finds them."""
+    rng = random.Random(9)
+    for _ in range(500):
+        words = "".join(rng.choices(["a ", "B. ", "-- ", "é ", "bake ", "no! ", "(7) "], k=rng.randint(0, 30))).split()
+        kinds = np.array([min(2, len(t.unit(w))) for w in words], np.int8)
+        plain = [u for w in words if (u := t.unit(w))]
+        assert t._spelt(words, kinds) == t.units(" ".join(words))[len(plain) :]
