@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idveil.llm.common import SPACES, table, written
+from idveil.llm.common import SPACES, let, table, written
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
+#: A document of whose characters a larger share is boilerplate is marked; it is cleaned like any other.
+MOST_SHARE = 0.5
 #: Documents with boilerplate whose line hashes are broadcast at most, and these hashes; more are joined by shuffle.
 MAX_BROADCAST_DOCS, MAX_BROADCAST_HASHES = 200_000, 2_000_000
 #: Base-2 logarithm of the sketch size; relative standard error 1.04 / sqrt(2 ** LG_K).
@@ -32,6 +34,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _chars(lines: Column) -> Column:
+    """Characters of the lines, spaces at their ends apart."""
+    return F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(F.trim(x)))
+
+
 def hashed_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text") -> DataFrame:
     """doc (all columns), row, site, hashes (of the lines with words): the one pass over the texts that all counts share.
 
@@ -90,10 +97,17 @@ def _free(name: str, taken: list[str]) -> str:
 
 
 def drop_boilerplate(
-    docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", text_col: str = "text", lg_k: int = LG_K
+    docs: DataFrame,
+    min_sites: int = MIN_SITES,
+    site_col: str = "source",
+    text_col: str = "text",
+    lg_k: int = LG_K,
+    marked: bool = False,
 ) -> DataFrame:
     """docs with its text cleaned, and n_lines, n_removed; all its other columns stay as they were, whatever their names
-    (a column called n_lines or n_removed stays, and the new one gets an underscore behind its name).
+    (a column called n_lines or n_removed stays, and the new one gets an underscore behind its name). Where marked,
+    mostly_boilerplate follows: whether the lines removed had more than MOST_SHARE of the text's characters (spaces at the
+    ends of lines apart), as in copies. It tells only; these documents are cleaned too.
 
     Lines end at a line feed; equal lines are those with equal words between white space. Lines without words are
     never boilerplate. Every line on min_sites sites or more leaves every document, also one that is left empty by it. A
@@ -119,16 +133,19 @@ def drop_boilerplate(
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(_lines(text)))
     cleaned = F.when(hit, F.array_join("stays", "\n")).otherwise(text)
     same = [cleaned.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
-    return rows.select(
-        *same,
+    added = [
         n_lines.alias(_free("n_lines", docs.columns)),
         F.when(hit, n_lines - F.size("stays")).otherwise(0).alias(_free("n_removed", docs.columns)),
-    )
+    ]
+    if marked:
+        most = let(_chars(_lines(text)), lambda n: n - _chars(F.col("stays")) > MOST_SHARE * n)
+        added.append(F.when(hit, most).otherwise(F.lit(False)).alias(_free("mostly_boilerplate", docs.columns)))
+    return rows.select(*same, *added)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = drop_boilerplate(table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+    cleaned = drop_boilerplate(table(spark, sf_dir, "documents"), marked=True)
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed", "mostly_boilerplate")
 
 
 OP8_SQL = rf"""
@@ -143,10 +160,12 @@ WITH l AS (
   SELECT l.*, s.even IS NOT NULL AS gone FROM l LEFT JOIN spread s ON l.even = s.even
 ), d AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone,
+         coalesce(sum(length(trim(line, ' '))) FILTER (gone), 0) AS gone_chars, sum(length(trim(line, ' '))) AS chars,
          string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS rest
   FROM m GROUP BY doc_id
 )
 SELECT documents.doc_id, CASE WHEN n_gone > 0 THEN coalesce(rest, '') ELSE text END AS text,
-       coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_gone, 0)::INTEGER AS n_removed
+       coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_gone, 0)::INTEGER AS n_removed,
+       coalesce(n_gone > 0 AND gone_chars > {MOST_SHARE} * chars, false) AS mostly_boilerplate
 FROM documents LEFT JOIN d USING (doc_id)
 """

@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +54,41 @@ def test_near_threshold_is_exact(spark):
     rows = [(n * 1000 + i, f"line {n}", f"site {i}") for n in range(60, 100) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert spread_lines(hashed_lines(df), 80, lg_k=4).count() == 20
+
+
+def test_query_marks_what_is_mostly_boilerplate(spark, tmp_path):
+    """More than half of the characters, spaces at the ends of lines apart; marked documents are cleaned all the same."""
+    texts = {
+        100: ("Share\nFOUR5", False),  # half of it
+        101: ("Share\nown4", True),
+        102: ("  Share   \n\n \n   own4 ", True),
+        103: ("Share", True),
+        104: ("Share\nShare\nnine char", True),
+        105: ("Share\nñandú😀", False),  # six characters, more bytes
+        106: ("own text\nand no more", False),
+        107: ("", False),
+        108: (None, False),
+    }
+    rows = [(i, f"Share\nown text of document {i}", f"s{i}") for i in range(10)]
+    rows += [(i, text, None if i % 2 else "s1") for i, (text, _) in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    result = line_dedup.op8_line_dedup(spark, str(tmp_path))
+    assert result.columns == ["doc_id", "text", "n_lines", "n_removed", "mostly_boilerplate"]
+    got = sorted((tuple(r) for r in result.collect()), key=repr)
+    assert [r[:4] for r in got] == brute(rows, 10)
+    assert {r[0]: r[4] for r in got if r[0] >= 100} == {i: most for i, (_, most) in texts.items()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(line_dedup.OP8_SQL).fetchall(), key=repr)
+
+
+def test_mark_is_added_where_asked_for(spark, awkward, empty):
+    clash = awkward.withColumn("mostly_boilerplate", F.lit("clash"))
+    got = drop_boilerplate(clash, min_sites=1, marked=True)
+    assert got.columns == [*clash.columns, "n_lines", "n_removed", "mostly_boilerplate_"]
+    assert got.where("mostly_boilerplate = 'clash'").count() == clash.count()
+    # Every line with words is on a site: the rows with words and without a site have the words of another row.
+    with_words = awkward.where("trim(translate(text, '\t\n', '  ')) <> ''").count()
+    assert got.where("mostly_boilerplate_").count() == got.where("n_removed > 0").count() == with_words
+    assert drop_boilerplate(empty, marked=True).where("NOT mostly_boilerplate").count() == 0
